@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quern.operators import orphans
+from quern.operators import hierarchy, orphans
 
 QUERIES = {
+    "p4_found": hierarchy.p4_found,
+    "p4_paths": hierarchy.p4_paths,
+    "p4_descendants": hierarchy.p4_descendants,
     "p5_found": orphans.p5_found,
     "p5_by_month": orphans.p5_by_month,
 }
@@ -21,7 +24,19 @@ m AS (SELECT edge_id, endpoint, r.created_at, CASE WHEN p.k IS NULL THEN 'missin
       FROM r LEFT JOIN p USING (k) WHERE r.k <> '')
 """
 
+_P4 = r"""
+WITH RECURSIVE c AS (SELECT node_id, parent_chunk_id, child_chunk_ids FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS rn FROM chunk_nodes) WHERE rn = 1),
+k AS (SELECT kid, min(node_id) AS claim FROM (SELECT node_id, unnest(child_chunk_ids) AS kid FROM c) GROUP BY kid),
+q AS (SELECT c.node_id, CASE WHEN trim(coalesce(parent_chunk_id, '')) <> '' THEN parent_chunk_id ELSE claim END AS parent FROM c LEFT JOIN k ON k.kid = c.node_id),
+t AS (SELECT q.node_id, o.node_id AS parent FROM q LEFT JOIN c o ON o.node_id = q.parent),
+w AS (SELECT node_id, node_id AS root, 0 AS depth, [node_id] AS path FROM t WHERE parent IS NULL
+      UNION ALL SELECT t.node_id, w.root, w.depth + 1, list_append(w.path, t.node_id) FROM t JOIN w ON t.parent = w.node_id)
+"""
+
 SQL = {
+    "p4_found": _P4 + "SELECT t.node_id, coalesce(w.root, 'cycle') AS root_id, coalesce(w.depth, -1) AS depth FROM t LEFT JOIN w USING (node_id)",
+    "p4_paths": _P4 + ", d AS (SELECT a AS node_id, count(*) - 1 AS descendants FROM (SELECT unnest(path) AS a FROM w) GROUP BY a) SELECT node_id, array_to_string(path, '/') AS path, depth, root AS root_id, descendants FROM w JOIN d USING (node_id)",
+    "p4_descendants": _P4 + "SELECT a AS node_id, node_id AS descendant, depth - i AS distance FROM (SELECT node_id, depth, unnest(path) AS a, unnest(range(len(path))) AS i FROM w) WHERE i < depth",
     "p5_found": _P5 + "SELECT edge_id, endpoint, kind FROM m WHERE kind IS NOT NULL",
     "p5_by_month": _P5 + "SELECT endpoint, kind, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY ALL",
 }
