@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
-from quern.llm import encode, split_oversized
+from quern.llm import encode, near_dup, shared_spans, split_oversized, vectors
 
 QUERIES = {
+    "p1_found": near_dup.p1_found,
+    "p1_links": near_dup.p1_links,
     "p6_found": split_oversized.p6_found,
     "p6_pieces": split_oversized.p6_pieces,
+    "p7_found": vectors.p7_found,
+    "p7_neighbours": vectors.p7_neighbours,
     "p8_ids": encode.p8_ids,
+    "p10_found": shared_spans.p10_found,
+    "p10_shared": shared_spans.p10_shared,
 }
 
+_SET = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'))"
+
+_ALIKE = r"""
+, t AS (SELECT space, id, unnest(words) AS word, len(words) AS n FROM s WHERE len(words) > 0),
+o AS (SELECT a.space, a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM t a JOIN t b ON a.space = b.space AND a.word = b.word AND a.id < b.id GROUP BY ALL),
+alike AS (SELECT space, a, b FROM o WHERE common * 10 >= (na + nb - common) * 7)
+"""
+
 SQL = {
+    "p1_found": f"""WITH s AS (SELECT 'training_samples' AS space, row_id AS id, {_SET.format("prompt")} AS words FROM training_samples
+        UNION ALL SELECT 'text_task_templates', row_id, {_SET.format("prompt_template")} FROM text_task_templates) {_ALIKE}
+        SELECT space AS table_name, a AS row_a, b AS row_b FROM alike""",
+    "p7_found": """WITH n AS (SELECT node_id, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS rn FROM nodes) WHERE rn = 1),
+        u AS (SELECT node_id, v FROM n WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0)
+        SELECT a.node_id AS node_a, b.node_id AS node_b FROM u a JOIN u b ON a.node_id < b.node_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
+    "p10_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300),
+        w AS (SELECT DISTINCT doc_id, hash(substring(text, i::INT, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM d))
+        SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p6_found": "SELECT node_id FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS rn FROM chunk_nodes) WHERE rn = 1 AND length(content) > 2000",
 }
