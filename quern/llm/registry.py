@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from quern.llm import encode, near_dup, shared_spans, split_oversized, vectors
+from quern.llm import encode, leaks, near_dup, shared_spans, split_overlap, split_oversized, vectors
 
 QUERIES = {
     "p1_found": near_dup.p1_found,
     "p1_links": near_dup.p1_links,
+    "p2_found": split_overlap.p2_found,
+    "p2_report": split_overlap.p2_report,
     "p6_found": split_oversized.p6_found,
     "p6_pieces": split_oversized.p6_pieces,
     "p7_found": vectors.p7_found,
     "p7_neighbours": vectors.p7_neighbours,
     "p8_ids": encode.p8_ids,
+    "p9_found": leaks.p9_found,
+    "p9_leaks": leaks.p9_leaks,
     "p10_found": shared_spans.p10_found,
     "p10_shared": shared_spans.p10_shared,
 }
@@ -28,9 +32,19 @@ SQL = {
     "p1_found": f"""WITH s AS (SELECT 'training_samples' AS space, row_id AS id, {_SET.format("prompt")} AS words FROM training_samples
         UNION ALL SELECT 'text_task_templates', row_id, {_SET.format("prompt_template")} FROM text_task_templates) {_ALIKE}
         SELECT space AS table_name, a AS row_a, b AS row_b FROM alike""",
+    "p2_found": f"""WITH r AS (SELECT row_id, prompt, context, regexp_replace(sample_id, '_(para|emph|reorder)$', '') AS base,
+            CASE lower(trim(split)) WHEN 'train' THEN 1 WHEN 'val' THEN 2 WHEN 'validation' THEN 2 WHEN 'test' THEN 2 END AS side FROM training_samples),
+        s AS (SELECT 'prompt' AS space, row_id AS id, {_SET.format("prompt")} AS words FROM r UNION ALL SELECT 'context', row_id, {_SET.format("context")} FROM r WHERE context IS NOT NULL) {_ALIKE},
+        p AS (SELECT a, b FROM alike UNION SELECT x.row_id, y.row_id FROM r x JOIN r y ON x.base = y.base AND x.row_id < y.row_id)
+        SELECT a AS row_a, b AS row_b FROM p JOIN r x ON x.row_id = a JOIN r y ON y.row_id = b WHERE x.side <> y.side""",
     "p7_found": """WITH n AS (SELECT node_id, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS rn FROM nodes) WHERE rn = 1),
         u AS (SELECT node_id, v FROM n WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0)
         SELECT a.node_id AS node_a, b.node_id AS node_b FROM u a JOIN u b ON a.node_id < b.node_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
+    "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM heldout_items),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+        h AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g)""",
     "p10_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300),
         w AS (SELECT DISTINCT doc_id, hash(substring(text, i::INT, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM d))
         SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
