@@ -29,8 +29,9 @@ from quern.functions.words import overlap, word_set
 from quern.plans.runtime import stored, table
 
 LEAST = 0.7
-#: Words in at least so many sets are frequent; at most so many are kept as such (16 bytes each), the most frequent ones.
-FREQUENT_FROM, FREQUENT_MOST = 32, 65_536
+#: Words in at least this share of the sets are frequent: at most the average size of a set times its inverse. At most so many are kept as
+#: such (16 bytes each), the most frequent ones; any choice gives the same pairs.
+FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.02, 16, 65_536
 #: Sets up to this size get lists for pairs of frequent words, longer ones (and those they can be like) for each frequent word.
 PAIRS_UP_TO = 400
 BLOCK = 64
@@ -95,8 +96,8 @@ def _index(frequent: np.ndarray, rank: np.ndarray, least: float):
                 low, up = parity_bits(words.view(np.uint64), np.cumsum(sizes) - sizes)
                 space = part.column("space").to_numpy(zero_copy_only=False)
                 keys, who, where = entries(words, sizes, space, frequent, rank, least)
-                cols = [keys.view(np.int64), part.column("id").to_numpy()[who], sizes[who].astype(np.int32), where.astype(np.int32), low[who], up[who], space[who]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id", "n", "pos", "b0", "b1", "space"])
+                cols = [keys.view(np.int64), part.column("id").to_numpy()[who], (space[who].astype(np.int64) << 48) | (sizes[who] << 24) | where, low[who], up[who]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id", "at", "b0", "b1"])
 
     return run
 
@@ -120,25 +121,28 @@ class AlikeSets:
         #: rows of classes with more than one row; every other row is its own class
         self.copies = copies
         self.reps = kept.select("space", "id", word_set(F.col("text")).alias("words"))
+        self.count = kept.count()
         self.pairs = stored(self._pairs(least))
 
     def _met(self, least: float) -> DataFrame:
         """Pairs of classes that no filter tells apart."""
-        often = self.reps.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "word").limit(FREQUENT_MOST).toArrow()
+        often = self.reps.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= max(FREQUENT_LEAST, FREQUENT_SHARE * self.count)).orderBy(F.desc("count"), "word").limit(FREQUENT_MOST).toArrow()
         word = often.column("word").to_numpy()
         order = np.argsort(word)
         frequent, rank = word[order], (len(word) - 1 - np.arange(len(word)))[order]
-        lists = self.reps.mapInArrow(_index(frequent, rank, least), "key bigint, id bigint, n int, pos int, b0 bigint, b1 bigint, space int").repartition("key")
-        number = F.row_number().over(Window.partitionBy("key").orderBy("n", "pos", "id"))
+        # one number holds table, size and position, in this order: the rows are many
+        lists = self.reps.mapInArrow(_index(frequent, rank, least), "key bigint, id bigint, at bigint, b0 bigint, b1 bigint").repartition("key")
+        space, n, pos = (lambda c: F.shiftright(c, 48)), (lambda c: F.shiftright(c, 24).bitwiseAND(F.lit(0xFFFFFF))), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFF)))
+        number = F.row_number().over(Window.partitionBy("key").orderBy("at", "id"))
         blocks = (
             lists.withColumn("block", F.floor((number - 1) / BLOCK))
             .groupBy("key", "block")
-            .agg(F.collect_list(F.struct("id", "n", "pos", "b0", "b1", "space")).alias("sets"), F.min("n").alias("n_from"), F.max("n").alias("n_to"), F.max(F.col("n") - F.col("pos")).alias("left"))
+            .agg(F.collect_list(F.struct("id", "at", "b0", "b1")).alias("sets"), F.min(n("at")).alias("n_from"), F.max(n("at")).alias("n_to"), F.max(n("at") - pos("at")).alias("left"))
         )
         need = lambda n: F.ceil(F.lit(least / (1 + least)) * (F.col("pn") + n) - EPS)
-        probe = lists.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("b0").alias("p0"), F.col("b1").alias("p1"), F.col("space").alias("pspace"))
+        probe = lists.select("key", F.col("id").alias("pid"), n("at").alias("pn"), pos("at").alias("ppos"), space("at").alias("pspace"), F.col("b0").alias("p0"), F.col("b1").alias("p1"))
         useful = (F.col("n_from") <= F.col("pn")) & (F.col("n_to") >= F.lit(least) * F.col("pn") - EPS) & (F.col("left") >= need(F.col("n_from"))) & (F.col("pn") - F.col("ppos") >= need(F.col("n_from")))
-        each = probe.join(blocks, "key").where(useful).select("pid", "pn", "ppos", "p0", "p1", "pspace", F.inline("sets"))
+        each = probe.join(blocks, "key").where(useful).select("pid", "pn", "ppos", "p0", "p1", "pspace", F.inline("sets")).withColumns({"n": n("at"), "pos": pos("at"), "space": space("at").cast("int")})
         smaller = (F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("id") < F.col("pid")))
         fits = (F.col("n") >= F.lit(least) * F.col("pn") - EPS) & (F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos")) >= need(F.col("n")))
         apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("p1")))
