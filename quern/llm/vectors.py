@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from quern.plans.runtime import in_force, stored, table
 
 DIM, SEED = 64, 20240917
-#: Tables of two hashes each for near pairs. At a cosine of 0.9 one table brings a pair together with a chance of over 0.4.
-PAIR_TABLES = 10
+#: Tables of two hashes each for near pairs. At a cosine of 0.9 one table brings a pair together with a chance of about 0.4.
+PAIR_TABLES = 12
 #: Tables of one hash each, and axes probed in each, for the k most similar vectors.
 NEIGHBOUR_TABLES, PROBES = 12, 10
 #: Queries a pass of the search holds in memory (a quarter of a kB each).
@@ -74,25 +74,35 @@ def usable(c: Column, dim: int) -> Column:
 
 
 def _buckets(tables: int, dim: int):
-    """Rows (bucket, id, sign bits, home): a vector's own bucket in each table, and two more it asks for."""
+    """Rows (bucket, id, sign bits): a vector's own bucket in each table, and the one it most nearly fell into.
+
+    The last sign bit tells which of the two it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotations(2 * tables + 2, dim)
+        turn = rotations(2 * tables + 3, dim)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = unit_rows(part.column("v"), dim).astype(np.float32)
-                n = len(x)
-                ids = part.column("id").to_numpy()
+                n, ids = len(x), part.column("id").to_numpy()
                 bits = [np.packbits((x @ m.T) > 0, axis=1).view(np.int64).ravel() for m in turn[2 * tables :]]
-                keys, home = [], []
+                keys = []
                 for t in range(tables):
-                    a, b = nearest_axes(x @ turn[2 * t].T, 2), nearest_axes(x @ turn[2 * t + 1].T, 2)
-                    for i, j in ((0, 0), (1, 0), (0, 1)):
-                        keys.append((t * 2 * dim + a[:, i]) * 2 * dim + b[:, j])
-                        home.append(np.full(n, i + j == 0))
-                m = 3 * tables
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.tile(ids, m)), pa.array(np.tile(bits[0], m)), pa.array(np.tile(bits[1], m)), pa.array(np.concatenate(home))], names=["bucket", "id", "s0", "s1", "home"])
+                    first, second, margin = [], [], []
+                    for m in turn[2 * t : 2 * t + 2]:
+                        r = x @ m.T
+                        axes = nearest_axes(r, 2)
+                        size = np.abs(np.take_along_axis(r, axes % dim, axis=1))
+                        first.append(axes[:, 0])
+                        second.append(axes[:, 1])
+                        margin.append(size[:, 0] - size[:, 1])
+                    other = margin[0] < margin[1]
+                    keys.append((t * 2 * dim + first[0]) * 2 * dim + first[1])
+                    keys.append((t * 2 * dim + np.where(other, second[0], first[0])) * 2 * dim + np.where(other, first[1], second[1]))
+                home = np.tile(np.repeat(np.array([1, 0]), n), tables)
+                last = (np.tile(bits[2], 2 * tables) & ~1) | home
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.tile(ids, 2 * tables)), pa.array(np.tile(bits[0], 2 * tables)), pa.array(np.tile(bits[1], 2 * tables)), pa.array(last)], names=["bucket", "id", "s0", "s1", "s2"])
 
     return run
 
@@ -107,31 +117,34 @@ def _cosines(dim: int):
     return run
 
 
-def near_pairs(df: DataFrame, id_col: str, vector_col: str, least: float = 0.9, tables: int = PAIR_TABLES, dim: int = DIM) -> DataFrame:
-    """(a, b, cosine) of the pairs with a cosine of at least ``least``; a < b.
+def near_pairs(df: DataFrame, id_col: str, vector_col: str, version_col: str, least: float = 0.9, tables: int = PAIR_TABLES, dim: int = DIM) -> DataFrame:
+    """(a, b, cosine) of the ids whose vectors, in the rows with the latest version, have a cosine of at least ``least``; a < b.
 
-    Vectors meet in buckets. Before their vectors are fetched, 128 signs of random projections are compared; the signs two vectors
-    differ in are binomial, and the bound lies four deviations over their mean at ``least``.
+    Vectors meet in buckets, all versions alike: which row is in force is asked of those that met only, so that vectors are not moved to
+    find out. Before vectors are fetched, 191 signs of random projections are compared; the signs two vectors differ in are binomial,
+    and the bound lies 3.5 deviations over their mean at ``least``.
     """
     if dim != 64:
         raise ValueError("the sign bits are laid out for 64 dimensions")
     kind = df.schema[id_col].dataType.simpleString()
     v = F.col(f"`{vector_col}`")
-    rows = df.where(usable(v, dim)).select(F.col(f"`{id_col}`").alias("name"), F.xxhash64(f"`{id_col}`").alias("id"), v.cast("array<float>").alias("v"))
-    put = rows.select("id", "v").mapInArrow(_buckets(tables, dim), "bucket int, id bigint, s0 bigint, s1 bigint, home boolean")
-    # equal vectors would all ask for the same buckets: pairs are found from the lesser or the greater id, never twice from one side
-    ask = put.select("bucket", F.col("id").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.col("home").alias("home_a"))
-    p = np.arccos(least) / np.pi
-    far = int(np.ceil(128 * p + 4 * np.sqrt(128 * p * (1 - p))))
-    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("a0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("a1")))
-    met = ask.join(put, "bucket").where((F.col("a") < F.col("id")) & (F.col("home_a") | F.col("home")) & (apart <= far)).select("a", F.col("id").alias("b")).distinct()
-    met = stored(met)
+    rows = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("name"), F.xxhash64(f"`{id_col}`", f"`{version_col}`", v).alias("id"), F.col(f"`{version_col}`").alias("version"), v.cast("array<float>").alias("v"))
+    fit = rows.where(usable(F.col("v"), dim))
+    put = fit.select("id", "v").mapInArrow(_buckets(tables, dim), "bucket int, id bigint, s0 bigint, s1 bigint, s2 bigint")
+    left, right = put.toDF("bucket", "a", "a0", "a1", "a2"), put.toDF("bucket", "b", "b0", "b1", "b2")
+    p, n = np.arccos(least) / np.pi, 3 * dim - 1
+    far = int(np.ceil(n * p + 3.5 * np.sqrt(n * p * (1 - p))))
+    differ = [F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")) for k in range(3)]
+    apart = F.bit_count(differ[0]) + F.bit_count(differ[1]) + F.bit_count(differ[2].bitwiseAND(F.lit(-2)))
+    home = F.col("a2").bitwiseOR(F.col("b2")).bitwiseAND(F.lit(1)) == 1
+    met = stored(left.join(right, "bucket").where((F.col("a") < F.col("b")) & home & (apart <= far)).select("a", "b").distinct())
     asked = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = stored(rows.join(asked, "id", "left_semi"))
+    last = rows.groupBy("name").agg(F.max(F.struct(F.col("version").isNotNull().alias("known"), "version", "id")).alias("last")).select("name", F.col("last.id").alias("id"))
+    found = stored(fit.select("name", "id", "v").join(asked, "id", "left_semi").dropDuplicates(["name", "id"]).join(last, ["name", "id"], "left_semi"))
     of = lambda c: found.select(F.col("id").alias(f"h{c}"), F.col("name").alias(c), F.col("v").alias(f"v{c}"))
-    both = met.toDF("ha", "hb").join(of("a"), "ha").join(of("b"), "hb").select("a", "b", "va", "vb")
+    both = met.toDF("ha", "hb").join(of("a"), "ha").join(of("b"), "hb").where(F.col("a") != F.col("b")).select("a", "b", "va", "vb")
     cos = both.mapInArrow(_cosines(dim), f"a {kind}, b {kind}, cosine double").where(F.col("cosine") >= least)
-    return cos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+    return cos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").distinct()
 
 
 def _search(names: list, q: np.ndarray, k: int, tables: int, probes: int, dim: int):
@@ -206,7 +219,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(_vectors(spark, sf_dir), "node_id", "embedding").select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+    rows = table(spark, sf_dir, "nodes").select("node_id", "embedding", "ingested_at")
+    return near_pairs(rows, "node_id", "embedding", "ingested_at").select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
 
 
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
