@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import encode, leaks, near_dup, shared_spans, split_overlap, split_oversized, vectors
+from quern.llm import defects, encode, leaks, near_dup, shared_spans, split_overlap, split_oversized, vectors
 
 QUERIES = {
     "p1_found": near_dup.p1_found,
     "p1_links": near_dup.p1_links,
     "p2_found": split_overlap.p2_found,
     "p2_report": split_overlap.p2_report,
+    "p3_found": defects.p3_found,
     "p6_found": split_oversized.p6_found,
     "p6_pieces": split_oversized.p6_pieces,
     "p7_found": vectors.p7_found,
