@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.operators import hierarchy, orphans
+from quern.operators import elements, graph, hierarchy, orphans
 
 QUERIES = {
     "p4_found": hierarchy.p4_found,
@@ -40,3 +40,7 @@ SQL = {
     "p5_found": _P5 + "SELECT edge_id, endpoint, kind FROM m WHERE kind IS NOT NULL",
     "p5_by_month": _P5 + "SELECT endpoint, kind, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY ALL",
 }
+
+for module in (elements, graph):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
