@@ -25,6 +25,9 @@ from quern.plans.runtime import table
 TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 #: The pre-tokenising pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the tokenizer's library sees it, spelt out for the library that marks the chunks.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+MARKING = PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
 CHUNK, OVERLAP = 4096, 512
 _encoders: dict[str, object] = {}
 
@@ -73,11 +76,13 @@ def chunks_of(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
 def boundaries(part: str, start: int, overlap: int) -> tuple[list[int], list[int]]:
     """Pre-token ends inside the first and inside the last ``overlap`` code points of a chunk, as positions in the text.
 
-    The last two of the chunk depend on what follows it and are left out.
+    The last two of the chunk depend on what follows it and are left out. So are those behind white space: how a run of it is parted
+    depends on whether anything follows, so a piece must not end with one.
     """
     import regex
 
-    ends = [m.end() for m in regex.finditer(PATTERN, part)][:-2]
+    ends = [m.end() for m in regex.finditer(MARKING, part)][:-2]
+    ends = [x for x in ends if not regex.match(f"[{SPACE}]", part[x - 1])]
     tail = len(part) - overlap
     return [start + x for x in ends if x <= overlap], [start + x for x in ends if x > tail]
 
