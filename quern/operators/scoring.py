@@ -184,14 +184,19 @@ def context_text(rows: DataFrame, longest: int = 2000) -> DataFrame:
     return kept.groupBy("task_id").agg(F.count("*").alias("nodes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("context"))
 
 
-def top_similar(queries: DataFrame, base: DataFrame, k: int = 5, least: float = -1.0) -> DataFrame:
-    """(query, vec_id, cosine, rank): the k most similar vectors of each query, itself left out, among those of its kind filter.
+def top_similar(queries: DataFrame, base: DataFrame, k: int = 5, least: float = -1.0, block: int = 4096) -> DataFrame:
+    """(query, vec_id, cosine, rank): the k most similar vectors of each query, itself left out.
 
-    The queries, a stated set, are sent to every part of the base; each part is ranked where it lies before the parts are ranked together.
+    The queries, a stated set, pass in blocks of bounded size, each sent to every part of the base.
     """
     q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")).withColumn("n", norm(F.col("v")))
     b = base.select("vec_id", "embedding").withColumn("m", norm(F.col("embedding")))
-    cos = b.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", "vec_id", (dot(F.col("embedding"), F.col("v")) / (F.col("m") * F.col("n"))).alias("cosine"))
+    blocks = max(1, -(-queries.count() // block))
+    cos = None
+    for i in range(blocks):
+        some = F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
+        part = b.join(some, F.col("vec_id") != F.col("query")).select("query", "vec_id", (dot(F.col("embedding"), F.col("v")) / (F.col("m") * F.col("n"))).alias("cosine"))
+        cos = part if cos is None else cos.unionByName(part)
     return best(cos.where(F.col("cosine") >= least), "query", k, "cosine", "vec_id")
 
 
