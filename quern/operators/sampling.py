@@ -63,11 +63,12 @@ def sample_types(samples: DataFrame, links: DataFrame, nodes: DataFrame) -> Data
 
 
 def connected(samples: DataFrame, links: DataFrame) -> DataFrame:
-    """(sample, connected): whether a sample's edges reach all its nodes from its seed. Samples are small, so few rounds do."""
-    both = links.select("sample", F.col("source").alias("node"), F.col("target").alias("other")).unionByName(links.select("sample", F.col("target").alias("node"), F.col("source").alias("other"))).distinct()
-    reached = samples.where("hop = 0").select("sample", "node")
-    for _ in range(3):
-        reached = reached.unionByName(reached.join(both, ["sample", "node"]).select("sample", F.col("other").alias("node"))).distinct()
+    """(sample, connected): whether a sample's edges reach all its nodes from its seed. A sample is small; rounds go on while any grows."""
+    both = stored(links.select("sample", F.col("source").alias("node"), F.col("target").alias("other")).unionByName(links.select("sample", F.col("target").alias("node"), F.col("source").alias("other"))).distinct())
+    reached = stored(samples.where("hop = 0").select("sample", "node"))
+    count = 0
+    while count < (count := reached.count()):
+        reached = stored(reached.unionByName(reached.join(both, ["sample", "node"]).select("sample", F.col("other").alias("node"))).distinct())
     n, r = samples.groupBy("sample").agg(F.count("*").alias("n")), reached.groupBy("sample").agg(F.count("*").alias("r"))
     return n.join(r, "sample", "left").select("sample", (F.col("n") == F.coalesce("r", F.lit(0))).alias("connected"))
 
@@ -89,9 +90,12 @@ def motif_stars(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, str], link
 
 
 def chains(edges: DataFrame, types: list[str], length: int = 3, seed: str = "chain") -> DataFrame:
-    """(start, path): from each node with two or more ways out along a way drawn by hash, without coming back."""
+    """(start, path): from each node with two or more ways out along a way drawn by hash, without coming back.
+
+    Of a node's ways the first ``length`` are enough: fewer nodes than that can have been visited.
+    """
     e = edges.where(F.col("edge_type").isin(types)).select("source", "target").distinct()
-    ways = e.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(uniform(seed, F.col("source"), F.col("target")), "target"))).where("n <= 8")
+    ways = e.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(uniform(seed, F.col("source"), F.col("target")), "target"))).where(F.col("n") <= length)
     out = e.groupBy("source").agg(F.count("*").alias("out")).where("out >= 2").select(F.col("source").alias("start"), F.array("source").alias("path"))
     for _ in range(length - 1):
         step = out.withColumn("source", F.element_at("path", -1)).join(ways, "source", "left")
@@ -106,7 +110,7 @@ def distinct_sets(rows: DataFrame, key: str, items: str) -> DataFrame:
     return s.groupBy("set").agg(F.min(key).alias(key), F.count("*").alias("rows"))
 
 
-def greedy_clusters(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def greedy_clusters(edges: DataFrame) -> DataFrame:
     """(seed, node): the least node left takes its neighbours that are left, and so on, all seeds of a round at once.
 
     A node is a seed when no lesser neighbour is left; this gives what going through the nodes in order would.
@@ -114,7 +118,7 @@ def greedy_clusters(edges: DataFrame, rounds: int = 20) -> DataFrame:
     near = stored(incident(edges).where("node != neighbour").select("node", "neighbour").distinct())
     left = stored(near.select("node").distinct())
     found = None
-    for _ in range(rounds):
+    while True:
         live = near.join(left, "node", "left_semi").join(left.select(F.col("node").alias("neighbour")), "neighbour", "left_semi")
         seeds = left.join(live.where("neighbour < node").select("node").distinct(), "node", "left_anti")
         taken = live.join(seeds, "node", "left_semi").groupBy("neighbour").agg(F.min("node").alias("seed")).select("seed", F.col("neighbour").alias("node"))

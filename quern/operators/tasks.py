@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,28 +91,24 @@ def similarity_spread(pairs: DataFrame) -> DataFrame:
 
 
 def diverse_choice(rows: DataFrame, group: str, most: int = 5, weight: float = 0.7) -> DataFrame:
-    """(group, id, place): per group, one after the other, the row with the best of quality and distance to those chosen.
+    """(group, id, place): per group, one after the other, the row with the best of quality and distance to those chosen; ties to the least id.
 
-    ``rows``: group, id, quality, words. Each choice depends on the ones before, so this is a loop; of a group only the ``pool`` best rows by
-    quality could be chosen ahead of it and they are all that a task holds.
+    ``rows``: group, id, quality, words. Each choice depends on the ones before, so there is a round for each place; in a round all rows of all
+    groups are weighed where they are, and only the best of each group are brought together.
     """
-    kind = rows.schema["id"].dataType.simpleString()
-    pool = rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(F.col("quality").desc(), "id"))).where("n <= 200").drop("n")
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["quality", "id"], ascending=[False, True], kind="stable")
-        left = [(i, q, set(w)) for i, q, w in zip(part["id"], part["quality"], part["words"])]
-        taken: list = []
-        while left and len(taken) < most:
-            def worth(x):
-                near = max((len(x[2] & t[2]) / max(len(x[2] | t[2]), 1) for t in taken), default=0.0)
-                return weight * (1 - near) + (1 - weight) * x[1]
-
-            best = max(range(len(left)), key=lambda k: (worth(left[k]), -k))
-            taken.append(left.pop(best))
-        return pd.DataFrame({group: part[group].iloc[0], "id": [t[0] for t in taken], "place": range(1, len(taken) + 1)})
-
-    return pool.groupBy(group).applyInPandas(choose, f"{group} string, id {kind}, place int")
+    left, chosen = rows.withColumn("near", F.lit(0.0)), None
+    for place in range(1, most + 1):
+        worth = weight * (1 - F.col("near")) + (1 - weight) * F.col("quality")
+        # the greatest worth, and of equals the least id
+        top = left.withColumn("worth", F.round(worth, 9)).groupBy(group).agg(F.max("worth").alias("best"))
+        first = left.withColumn("worth", F.round(worth, 9)).join(top, group).where("worth = best").groupBy(group).agg(F.min(F.struct("id", "words")).alias("one"))
+        taken = stored(first.select(group, F.col("one.id").alias("taken"), F.col("one.words").alias("taken_words")))
+        step = taken.select(group, F.col("taken").alias("id"), F.lit(place).alias("place"))
+        chosen = step if chosen is None else chosen.unionByName(step)
+        if place < most:
+            near = F.greatest("near", likeness(F.col("words"), F.col("taken_words")))
+            left = stored(left.join(taken, group).where(F.col("id") != F.col("taken")).withColumn("near", near).drop("taken", "taken_words"))
+    return chosen
 
 
 # ---- roll-ups

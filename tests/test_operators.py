@@ -138,3 +138,9 @@ def test_context_text_is_cut_once(spark):
     rows = [("t", "n1", "paragraph", "x" * 900, 3.0), ("t", "n2", "table", "y" * 900, 2.0), ("t", "n3", "figure", "z" * 900, 1.0), ("t", "n4", "figure", "q", 0.5)]
     got = S.context_text(spark.createDataFrame(rows, "task_id string, node string, node_type string, content string, score double")).collect()[0]
     assert got["nodes"] == 3 and got["context"].endswith("...") and "q" not in got["context"].replace("FIGURE", "")
+
+
+def test_diverse_choice_one_by_one(spark):
+    rows = [("g", 1, 0.9, [1, 2, 3]), ("g", 2, 0.9, [1, 2, 3]), ("g", 3, 0.1, [7, 8]), ("g", 4, 0.5, [1, 2, 9]), ("h", 5, 0.0, [1])]
+    got = K.diverse_choice(spark.createDataFrame(rows, "g string, id bigint, quality double, words array<bigint>"), "g", 3)
+    assert values(got, "g", "place", "id") == [("g", 1, 1), ("g", 2, 3), ("g", 3, 4), ("h", 1, 5)]
