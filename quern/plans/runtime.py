@@ -75,7 +75,8 @@ def in_force(df: DataFrame, key: str, version: str) -> DataFrame:
     hash of all their columns, so that the choice does not depend on their order.
     """
     cols = df.columns
-    tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in cols])
+    # maps can not be hashed as such
+    tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes])
     rank = Window.partitionBy(F.col(f"`{key}`")).orderBy(F.col(f"`{version}`").desc_nulls_last(), tie)
     return df.where(F.col(f"`{key}`").isNotNull()).withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").select(*[F.col(f"`{c}`") for c in cols])
 
