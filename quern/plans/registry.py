@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.operators import elements, graph, hierarchy, orphans, sampling, scoring, tasks
+from quern.operators import elements, graph, hierarchy, orphans, sampling, scoring, tasks, web
 
 QUERIES = {
     "p4_found": hierarchy.p4_found,
@@ -41,6 +41,6 @@ SQL = {
     "p5_by_month": _P5 + "SELECT endpoint, kind, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY ALL",
 }
 
-for module in (elements, graph, scoring, tasks, sampling):
+for module in (elements, graph, scoring, tasks, sampling, web):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
