@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +15,21 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a session, where they could not import it: when it is neither installed nor in PYTHONPATH."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if getattr(sc, "_quern_shipped", False) or str(root) in paths or "site-packages" in root.parts:
+        return
+    with tempfile.NamedTemporaryFile(prefix="quern-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted((root / "quern").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(f.name)
+    sc._quern_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
