@@ -36,7 +36,7 @@ w AS (SELECT node_id, node_id AS root, 0 AS depth, [node_id] AS path FROM t WHER
 SQL = {
     "p4_found": _P4 + "SELECT t.node_id, coalesce(w.root, 'cycle') AS root_id, coalesce(w.depth, -1) AS depth FROM t LEFT JOIN w USING (node_id)",
     "p4_paths": _P4 + ", d AS (SELECT a AS node_id, count(*) - 1 AS descendants FROM (SELECT unnest(path) AS a FROM w) GROUP BY a) SELECT node_id, array_to_string(path, '/') AS path, depth, root AS root_id, descendants FROM w JOIN d USING (node_id)",
-    "p4_descendants": _P4 + "SELECT a AS node_id, node_id AS descendant, depth - i AS distance FROM (SELECT node_id, depth, unnest(path) AS a, unnest(range(len(path))) AS i FROM w) WHERE i < depth",
+    "p4_descendants": _P4 + "SELECT a AS node_id, node_id AS descendant, (depth - i)::INT AS distance FROM (SELECT node_id, depth, unnest(path) AS a, unnest(range(len(path))) AS i FROM w) WHERE i < depth",
     "p5_found": _P5 + "SELECT edge_id, endpoint, kind FROM m WHERE kind IS NOT NULL",
     "p5_by_month": _P5 + "SELECT endpoint, kind, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY ALL",
 }
