@@ -282,6 +282,7 @@ def with_all_types(counts: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 
 def _subset(s: SparkSession, d: str) -> DataFrame:
+    """Two of the edge types, which recursive SQL can follow; the queries with ``_all`` in their names take all edges and have no SQL."""
     return edges_of(s, d).where("edge_type in ('semantic_sim', 'table_context')")
 
 
@@ -316,6 +317,9 @@ QUERIES = {
     "g09_components": lambda s, d: components(_subset(s, d)),
     "g08_largest_components": lambda s, d: components(_subset(s, d)).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(10),
     "g10_distances": lambda s, d: within_hops(_subset(s, d), gold_nodes(s, d)),
+    "g09_components_all": lambda s, d: components(edges_of(s, d)),
+    "g08_largest_components_all": lambda s, d: components(edges_of(s, d)).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(10),
+    "g10_distances_all": lambda s, d: within_hops(edges_of(s, d), gold_nodes(s, d)),
     "g13_centrality": lambda s, d: degree_centrality(edges_of(s, d)),
     "g20_path_pattern": lambda s, d: Pattern(PATTERN).match(nodes_of(s, d), edges_of(s, d)),
     "g24_propagation": lambda s, d: propagate(edges_of(s, d), gold_nodes(s, d).withColumn("score", F.lit(0.8))),
