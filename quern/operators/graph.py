@@ -8,6 +8,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -222,6 +224,45 @@ def similarity_edges(nodes: DataFrame, least: float = 0.3) -> DataFrame:
     return both.where((F.col("cosine") >= least) & ~F.isnan("cosine")).select("source", "target", "cosine")
 
 
+def _alike_in_blocks(least: float):
+    """The alike pairs of two blocks of vectors, or of one with itself."""
+
+    def pairs(group: pa.Table) -> pa.Table:
+        ids, block = np.array(group.column("node_id").to_pylist(), object), group.column("block").to_numpy()
+        v = group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        with np.errstate(invalid="ignore", over="ignore"):
+            length = np.linalg.norm(v, axis=1)
+        good = np.isfinite(length) & (length > 0)
+        ids, block, v = ids[good], block[good], v[good] / length[good, None]
+        low = block == block.min(initial=2**31 - 1)
+        first, other = np.flatnonzero(low), np.flatnonzero(~low)
+        if group.column("low")[0] == group.column("high")[0]:
+            other = first
+        elif not len(other):  # all of one of the blocks is unusable
+            first = other
+        cos = v[first] @ v[other].T
+        i, j = np.nonzero(cos >= least)
+        a, b, c = ids[first[i]], ids[other[j]], cos[i, j]
+        if other is first:
+            a, b, c = a[keep := i < j], b[keep], c[keep]
+        turn = np.array(a > b, bool)
+        return pa.table({"source": pa.array(np.where(turn, b, a), pa.string()), "target": pa.array(np.where(turn, a, b), pa.string()), "cosine": pa.array(c, pa.float64())})
+
+    return pairs
+
+
+def file_similarity_edges(nodes: DataFrame, least: float = 0.3, block: int = 2048) -> DataFrame:
+    """(source, target, cosine): alike nodes of one file, on whichever pages or on none, source < target; nodes without file are in none.
+
+    Exact: the vectors of a file are dealt out to blocks, and each pair of blocks is one group, so that no task holds more than two.
+    """
+    v = nodes.where("source_file is not null and size(embedding) > 0").select("source_file", F.size("embedding").alias("length"), "node_id", "embedding")
+    blocks = v.groupBy("source_file", "length").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = v.join(blocks, ["source_file", "length"]).withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).groupBy("source_file", "length", "low", "high")
+    return groups.applyInArrow(_alike_in_blocks(least), "source string, target string, cosine double")
+
+
 def mention_edges(nodes: DataFrame, entities: DataFrame) -> DataFrame:
     """(node_id, entity_id): nodes whose text holds the canonical name of an entity, as whole words."""
     e = entities.select(F.col("node_id").alias("entity_id"), words(F.col("canonical_name")).alias("name")).where("size(name) > 0").withColumn("word", F.col("name")[0])
@@ -309,6 +350,7 @@ QUERIES = {
     "j04_containment": lambda s, d: containment_edges(nodes_of(s, d)),
     "j05_references": lambda s, d: reference_edges(nodes_of(s, d)),
     "j06_similarity": lambda s, d: similarity_edges(nodes_of(s, d)),
+    "j06_similarity_file": lambda s, d: file_similarity_edges(nodes_of(s, d)),
     "j07_mentions": lambda s, d: mention_edges(nodes_of(s, d), table(s, d, "entity_nodes")),
     "j08_context": lambda s, d: context_edges(nodes_of(s, d)),
     "j17_spatial": lambda s, d: spatial_edges(nodes_of(s, d)),
