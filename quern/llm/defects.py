@@ -1,8 +1,8 @@
 """Broken prompt and response pairs.
 
-A linear classifier with one output a defect, over hashed word n-grams of the answer and features of the pair. It is trained on answers
+A linear classifier with one output a defect, over hashed word n-grams of the whole answer and features of the pair. It is trained on answers
 that are broken on purpose: cut off, replaced by (parts of) their prompts, swapped for answers in another language, replaced by refusals
-and by fillers; the answers as they are count as good. As some of those are broken already, training is done twice, the second time
+(also after a long preamble) and by fillers; the answers as they are count as good. As some of those are broken already, training is done twice, the second time
 without the good examples that the first model doubts. Thresholds are calibrated on examples held back. Languages are told apart by a
 linear model over hashed character n-grams, trained on the labelled texts of the corpus.
 
@@ -43,6 +43,8 @@ _ASKED = [
     (re.compile(r"\b(?:spanish|spanisch\w*|espagnol\w*|español\w*)\b"), 3),
 ]
 _ASKING = re.compile(r"\b(?:answer\w*|reply|replies|respond\w*|response|write|translat\w*|antwort\w*|schreib\w*|übersetz\w*|répon\w*|traduis\w*|écri\w*|respond\w*|respuesta|traduc\w*|escrib\w*)\b")
+#: So many words begin an answer; n-grams behind them are features of their own, numbered from BUCKETS on.
+HEAD = 40
 #: What a good example counts for when thresholds are set.
 GOOD_WEIGHT = 10.0
 #: Words the sample of texts holds at least so often tell languages apart.
@@ -243,16 +245,16 @@ def features(answer: str | None, prompt: str | None, languages: Languages, known
 
     # the pair's features count three times, so that words are learnt only where these do not tell
     out = [f"{k}{x}" for x in out for k in ("a", "b", "c")]
-    # words: the first ones of the first sentences, with names, codes and numbers made alike
+    # words of the whole answer, with names, codes and numbers made alike
     masked = []
     for w, x in zip(words, low):
         name = w[:1].isupper() and x not in known
         masked.append("#" if any(c.isdigit() for c in w) else "Name" if name else x)
-    head = ["^", *masked[:40]]
-    for k in (1, 2, 3):
-        out += [f"{k} " + " ".join(head[i : i + k]) for i in range(len(head) - k + 1)]
-    out += [f"s{size > 6} {x}" for x in set(masked[:30])]
-    return list({_bucket(x) for x in out})
+    grams = lambda some: [f"{k} " + " ".join(some[i : i + k]) for k in (1, 2, 3) for i in range(len(some) - k + 1)]
+    out += grams(["^", *masked[:HEAD]]) + [f"s{size > 6} {x}" for x in set(masked[:30])]
+    # behind the beginning they tell refusals only: the other defects are told by the pair's features, which all read the whole answer
+    far = grams(masked[HEAD - 2 :]) if n > HEAD else []
+    return [*{_bucket(x) for x in out}, *{BUCKETS + _bucket(x) for x in far}]
 
 
 # ---- the classifier
@@ -275,9 +277,9 @@ class Linear:
     @classmethod
     def fit(cls, rows: list[list[int]], labels: np.ndarray, rounds: int = 8, decay: float = 1e-5) -> "Linear":
         rng = np.random.default_rng(11)
-        w, b = np.zeros((BUCKETS, len(DEFECTS))), np.full(len(DEFECTS), -2.0)
+        w, b = np.zeros((2 * BUCKETS, len(DEFECTS))), np.full(len(DEFECTS), -2.0)
         g2, b2 = np.full_like(w, 1e-2), np.full(len(DEFECTS), 1e-2)
-        arrays = [np.array(r) for r in rows]
+        arrays = [(a := np.array(r))[a < BUCKETS] for r in rows]
         for _ in range(rounds):
             for k in rng.permutation(len(arrays)):
                 r = arrays[k]
@@ -292,6 +294,21 @@ class Linear:
                 b -= 0.1 * g / np.sqrt(b2)
         return cls(w, b, np.zeros(len(DEFECTS)))
 
+    def fit_far(self, rows: list[list[int]], refused: np.ndarray, rounds: int = 8) -> "Linear":
+        """Learns what the words behind the beginning tell of refusals; all other weights and the thresholds stay as they are."""
+        rng, k = np.random.default_rng(12), DEFECTS.index("refusal")
+        w, g2 = self.weights[:, k], np.full(2 * BUCKETS, 1e-2)
+        arrays = [np.array(r) for r in rows]
+        near = [w[a[a < BUCKETS]].sum() + self.bias[k] - self.least[k] for a in arrays]
+        far = [a[a >= BUCKETS] for a in arrays]
+        for _ in range(rounds):
+            for i in rng.permutation(len(far)):
+                g = 1 / (1 + np.exp(-np.clip(near[i] + w[far[i]].sum(), -30, 30))) - refused[i]
+                if len(far[i]) and abs(g) >= 0.01:
+                    g2[far[i]] += g * g
+                    w[far[i]] -= 0.1 * g / np.sqrt(g2[far[i]])
+        return self
+
     def calibrate(self, rows: list[list[int]], labels: np.ndarray) -> "Linear":
         """For each defect the threshold with the best F1 on the examples held back; of those as good, the middle."""
         s = self.scores(rows)
@@ -363,6 +380,20 @@ class Breaker:
         text = text[:1].upper() + text[1:] + self.pick([".", ".", ".", "", "!"]) + c
         return text.upper() if self.rng.random() < 0.1 else text
 
+    def preamble(self, language: int) -> str:
+        """Sentences of other answers and prompts in a language, 15 to 120 words and what the last sentence has over."""
+        some, words, most = [], 0, int(self.rng.integers(15, 120))
+        for _ in range(40):
+            if words >= most:
+                break
+            answer, prompt, k = self.pick(self.pairs)
+            if k == language:
+                sentence = self.pick(re.split(r"(?<=[.?!])\s+", self.pick([answer, prompt]).strip()))
+                if sentence.endswith((".", "?", "!")):
+                    some.append(sentence)
+                    words += len(sentence.split())
+        return " ".join(some)
+
     def some_name(self) -> str:
         found = re.findall(r"\b[A-Z][a-z]{4,}(?: [A-Z][a-z]+)?\b", self.pick(self.pairs)[1])
         return self.pick(["", "the " + self.some_word() + " of "]) + (self.pick(found) if found else "the owner")
@@ -445,6 +476,17 @@ def _examples(pairs: list[tuple[str, str, int]], languages: Languages, seed: int
     return rows, y
 
 
+def _far_examples(pairs: list[tuple[str, str, int]], seed: int) -> tuple[list[tuple[str, str]], np.ndarray]:
+    """Refusals after a preamble, at times with more behind, and good answers as long; and which are refusals."""
+    b, rows, refused = Breaker(pairs, seed), [], []
+    for answer, prompt, language in pairs:
+        r = b.rng.random()
+        for parts in ([b.preamble(language), b.refusal(language), b.preamble(language) if r < 0.2 else ""], [b.preamble(language), answer]):
+            rows.append((" ".join(x for x in parts if x), prompt))
+            refused.append(len(parts) == 3)
+    return rows, np.array(refused, float)
+
+
 class Judge:
     """The fitted models and what their features need."""
 
@@ -467,7 +509,7 @@ class Judge:
         self = cls(languages, {w for w, n in count.items() if n >= 3}, None)  # type: ignore[arg-type]
         good = [(a, p) for a, p in pairs if a and p]
 
-        def fitted(some: list[tuple[str, str]], seed: int) -> Linear:
+        def fitted(some: list[tuple[str, str]], seed: int, far: bool = False) -> Linear:
             full, own = [], []
             for a, p in some:
                 full.append((a, p, expected_language(p, [w.lower() for w in _WORD.findall(p)], languages)[0]))
@@ -477,7 +519,11 @@ class Judge:
             x = self.features(rows)
             held = np.arange(len(x)) % 5 == 0
             model = Linear.fit([x[i] for i in np.flatnonzero(~held)], y[~held])
-            return model.calibrate([x[i] for i in np.flatnonzero(held)], y[held])
+            model.calibrate([x[i] for i in np.flatnonzero(held)], y[held])
+            if not far:
+                return model
+            more, refused = _far_examples(full, seed + 100)
+            return model.fit_far(self.features(more) + x, np.concatenate([refused, y[:, DEFECTS.index("refusal")]]))
 
         # each half is looked through by a model that has not seen it; what it doubts is not taken as good
         halves = good[::2], good[1::2]
@@ -486,7 +532,7 @@ class Judge:
             if halves[k] and halves[1 - k]:
                 doubt = fitted(halves[k], seed + k).scores(self.features(halves[1 - k])).max(axis=1)
                 sure += [g for g, v in zip(halves[1 - k], doubt) if v < DOUBT]
-        self.linear = fitted(sure or good, seed + 2) if good else Linear(np.zeros((BUCKETS, len(DEFECTS))), np.zeros(len(DEFECTS)), np.full(len(DEFECTS), np.inf))
+        self.linear = fitted(sure or good, seed + 2, True) if good else Linear(np.zeros((2 * BUCKETS, len(DEFECTS))), np.zeros(len(DEFECTS)), np.full(len(DEFECTS), np.inf))
         return self
 
 
