@@ -356,6 +356,8 @@ QUERIES = {
     "j17_spatial": lambda s, d: spatial_edges(nodes_of(s, d)),
     "g01_two_hops": lambda s, d: within_hops(edges_of(s, d), gold_nodes(s, d).where("node like 'table_%'"), 2),
     "g02_two_hop_edges": lambda s, d: induced(edges_of(s, d), within_hops(edges_of(s, d).where("edge_type = 'contains'"), gold_nodes(s, d), 1)).groupBy("edge_type").agg(F.count("*").alias("n")),
+    "g01_two_hops_all": lambda s, d: within_hops(edges_of(s, d), gold_nodes(s, d), 2),
+    "g02_two_hop_edges_all": lambda s, d: induced(edges_of(s, d), within_hops(edges_of(s, d), gold_nodes(s, d), 2)).groupBy("edge_type").agg(F.count("*").alias("n")),
     "g09_components": lambda s, d: components(_subset(s, d)),
     "g08_largest_components": lambda s, d: components(_subset(s, d)).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(10),
     "g10_distances": lambda s, d: within_hops(_subset(s, d), gold_nodes(s, d)),

@@ -54,6 +54,15 @@ def test_components_and_distances_over_all_edge_types(spark, graph):
     assert len(got) == len(dict(got)) and dict(got) == distances(edges, gold)
 
 
+def test_two_hops_from_all_gold_nodes_over_all_edges(spark, graph):
+    d, edges, gold = graph
+    want = distances(edges, gold, 2)
+    got = found(spark, "g01_two_hops_all", d, "node", "hop")
+    assert len(got) == len(want) and dict(got) == want
+    inside = [t for t, a, b in edges if a in want and b in want]
+    assert dict(found(spark, "g02_two_hop_edges_all", d, "edge_type", "n")) == {t: inside.count(t) for t in set(inside)}
+
+
 def test_similarity_over_pages_of_a_file(spark, tmp_path):
     rng = random.Random(8)
     vectors = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(60)] + [[0.0] * 6, [float("nan")] + [1.0] * 5, [1.0, 2.0], [2.0, 1.0], [], None, [1.0, None, 1.0, 1.0, 1.0, 1.0]]
