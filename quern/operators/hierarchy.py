@@ -54,10 +54,13 @@ def _round(live: DataFrame, r: int) -> DataFrame:
     return peeled.unionByName(kept)
 
 
-def hierarchy(parents: DataFrame, paths: bool = True) -> DataFrame:
+def hierarchy(parents: DataFrame, paths: bool = True, loops: bool = False) -> DataFrame:
     """(node, root, depth, descendants[, path]) from (node, parent).
 
     ``path`` runs from the root to the node. On cycles and below them root is ``cycle``, depth -1, path and, on the cycle, descendants null.
+
+    With ``loops`` these get a path too: from the node itself upwards until a node would come again, in the order from there to the node; and
+    descendants on a cycle are all nodes on and below it but the node.
     """
     kind = parents.schema["node"].dataType.simpleString()
     start = parents.select("node", "parent", F.lit(0).cast("bigint").alias("acc"), F.expr(f"cast(array() as array<struct<node: {kind}, acc: bigint>>)").alias("hops"))
@@ -78,10 +81,16 @@ def hierarchy(parents: DataFrame, paths: bool = True) -> DataFrame:
     chain = F.expr("concat(hops, array(struct(node, acc)))")
     below = F.expr("aggregate(slice(chain, i, size(chain)), 0L, (s, h) -> s + h.acc + 1) - 1")
     way = F.expr("transform(slice(chain, 1, i), h -> h.node)") if paths else F.col("i").cast("bigint")
+    size = F.when(~F.col("loop"), below)
+    if loops:
+        # a cycle has become one row, whose chain is the whole cycle: going up from its first node leads to its last
+        turned = F.expr("transform(concat(slice(chain, i + 1, size(chain)), slice(chain, 1, i)), h -> h.node)")
+        way = F.when(F.col("loop"), turned).otherwise(way) if paths else way
+        size = F.when(F.col("loop"), F.expr("aggregate(chain, 0L, (s, h) -> s + h.acc + 1) - 1")).otherwise(below)
     nodes = (
         rows.withColumn("chain", chain)
         .withColumn("i", F.explode(F.expr("sequence(1, size(chain))")))
-        .select(F.expr("element_at(chain, i).node").alias("node"), F.when(~F.col("loop"), F.col("parent")).alias("up"), way.alias("way"), F.when(~F.col("loop"), below).alias("below"), "loop", F.expr("chain[0].node").alias("top"))
+        .select(F.expr("element_at(chain, i).node").alias("node"), F.when(~F.col("loop"), F.col("parent")).alias("up"), way.alias("way"), size.alias("below"), "loop", F.expr("chain[0].node").alias("top"))
     )
     state = Stored(nodes)
     for _ in range(max(1, r.bit_length())):
@@ -90,7 +99,7 @@ def hierarchy(parents: DataFrame, paths: bool = True) -> DataFrame:
         state = Stored(state.df.join(up, "up", "left").select("node", F.col("up2").alias("up"), longer.alias("way"), "below", F.coalesce("loop2", "loop").alias("loop"), F.coalesce("top2", "top").alias("top")))
     ok = ~F.col("loop")
     depth = F.when(ok, (F.size("way") if paths else F.col("way")) - 1).otherwise(-1).cast("int")
-    out = state.df.select("node", F.when(ok, F.col("top")).otherwise(CYCLE).alias("root"), depth.alias("depth"), F.col("below").alias("descendants"), *([F.when(ok, F.col("way")).alias("path")] if paths else []))
+    out = state.df.select("node", F.when(ok, F.col("top")).otherwise(CYCLE).alias("root"), depth.alias("depth"), F.col("below").alias("descendants"), *([(F.col("way") if loops else F.when(ok, F.col("way"))).alias("path")] if paths else []))
     return out
 
 
@@ -113,3 +122,16 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each node and each node below it; a list a node would not fit into one row for the root of a large tree."""
     found = hierarchy(_chunk_parents(spark, sf_dir)).where("depth > 0")
     return found.select(F.posexplode("path").alias("i", "node_id"), F.col("node").alias("descendant"), "depth").where("node_id != descendant").select("node_id", "descendant", (F.col("depth") - F.col("i")).alias("distance"))
+
+
+def p4_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path and number of descendants of every node; root ``cycle`` and depth -1 mark those that reach no root."""
+    found = hierarchy(_chunk_parents(spark, sf_dir), loops=True)
+    return found.select(F.col("node").alias("node_id"), F.array_join("path", "/").alias("path"), "depth", F.col("root").alias("root_id"), "descendants")
+
+
+def p4_descendants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each node and each node below it, also on and below cycles; the distance is that of the first way up."""
+    found = hierarchy(_chunk_parents(spark, sf_dir), loops=True)
+    each = found.select(F.posexplode("path").alias("i", "node_id"), F.col("node").alias("descendant"), (F.size("path") - 1).alias("last")).where("node_id != descendant")
+    return each.select("node_id", "descendant", (F.col("last") - F.col("i")).alias("distance"))

@@ -8,6 +8,8 @@ QUERIES = {
     "p4_found": hierarchy.p4_found,
     "p4_paths": hierarchy.p4_paths,
     "p4_descendants": hierarchy.p4_descendants,
+    "p4_paths_all": hierarchy.p4_paths_all,
+    "p4_descendants_all": hierarchy.p4_descendants_all,
     "p5_found": orphans.p5_found,
     "p5_by_month": orphans.p5_by_month,
 }

@@ -79,3 +79,24 @@ def test_similarity_over_pages_of_a_file(spark, tmp_path):
     for got in (registry.QUERIES["j06_similarity_file"](spark, str(tmp_path)), G.file_similarity_edges(df, block=4)):
         found = {(r["source"], r["target"]): r["cosine"] for r in got.collect()}
         assert got.count() == len(found) and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_hierarchies_on_and_below_cycles(spark, tmp_path):
+    rng = random.Random(3)
+    parent = {f"n{i}": (f"n{rng.randrange(i)}" if i and rng.random() < 0.9 else None) for i in range(60)}
+    parent |= {"x1": "x2", "x2": "x3", "x3": "x1", "y1": "x2", "y2": "y1", "y3": "y1", "y4": "x3", "self": "self", "z": "self", "zz": "z"}
+    parent |= {f"o{i:02}": f"o{(i + 1) % 40:02}" for i in range(40)} | {f"q{i}": f"q{i - 1}" if i else "o07" for i in range(25)}
+    rows = [(n, p, None, DAY) for n, p in parent.items()]
+    spark.createDataFrame(rows, "node_id string, parent_chunk_id string, child_chunk_ids array<string>, ingested_at timestamp").write.parquet(f"{tmp_path}/chunk_nodes.parquet")
+    want = {}
+    for n in parent:
+        path, x = [], n
+        while x is not None and x not in path:
+            path.append(x)
+            x = parent[x]
+        want[n] = (path[::-1], "cycle" if x is not None else path[-1], -1 if x is not None else len(path) - 1)
+    got = {r["node_id"]: r for r in registry.QUERIES["p4_paths_all"](spark, str(tmp_path)).collect()}
+    assert {n: (r["path"].split("/"), r["root_id"], r["depth"]) for n, r in got.items()} == want
+    below = [(a, n, len(path) - 1 - i) for n, (path, _, _) in want.items() for i, a in enumerate(path) if a != n]
+    assert {n: r["descendants"] for n, r in got.items()} == {n: sum(a == n for a, _, _ in below) for n in parent}
+    assert sorted(found(spark, "p4_descendants_all", str(tmp_path), "node_id", "descendant", "distance")) == sorted(below)
