@@ -1,8 +1,8 @@
 """References to records that do not exist (yet, or any more).
 
-The keys of the parents are cut into ranges (of their hashes). Each range's parents are held as sorted arrays; the references to it come in batches of
-bounded size, each of which is probed by one vectorised binary search. A hot key's references are dealt to several batches, each with its
-own copy of that range's parents, so that no task meets more than a batch of them.
+The keys of the parents are cut into ranges, at bounds taken from a sample of them. Each range's parents are stored once, as sorted arrays; the
+references to it come in batches of bounded size, each of which is probed by one vectorised binary search. A hot key's references are
+dealt to several batches, each with its own copy of that range's arrays, so that no task meets more than a batch of them.
 
 Defined results: keys are compared trimmed and lower-cased; null and blank keys are no references; a key that several parents carry
 counts as one that is there from the first of their creation times on, and as deleted only when each of them is; a parent without
@@ -12,17 +12,23 @@ than those named are ignored.
 
 from __future__ import annotations
 
-import math
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quern.plans.runtime import in_force, table
 
-#: Parents a range aims at, references a batch aims at, most ranges of one run (their sizes are broadcast: a few bytes each).
-RANGE_ROWS, BATCH_ROWS, MOST_RANGES = 20_000, 50_000, 2**16
+#: Parents a range aims at, references a batch aims at, most ranges of one run. What the driver sees of them: ``PER_RANGE`` sampled keys a range
+#: and, for each range, its bound and its size.
+RANGE_ROWS, BATCH_ROWS, MOST_RANGES, PER_RANGE = 20_000, 50_000, 2**14, 16
+#: Keys are compared by at most so many bytes: of longer ones by a beginning and a digest.
+WIDEST = 96
 FAR, UNKNOWN = 2**62, -(2**61)
 
 
@@ -32,19 +38,45 @@ def normal_key(c: Column) -> Column:
     return F.when(key != "", key)
 
 
+def search_keys(keys: Iterable[str]) -> np.ndarray:
+    """Keys as bytes of one width, in an order of their own. A closing byte keeps apart keys that end in NUL characters."""
+    out = []
+    for k in keys:
+        b = k.encode("utf-8", "surrogatepass")
+        out.append((b if len(b) < WIDEST else b[:32] + hashlib.blake2b(b, digest_size=WIDEST - 33).digest()) + b"\x01")
+    return np.array(out, dtype=np.bytes_) if out else np.zeros(0, "S1")
+
+
+def _ranged(bounds: np.ndarray):
+    """Adds the number of the range that each key lies in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(bounds, search_keys(batch.column("key").to_pylist()), side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "range"])
+
+    return run
+
+
+def _sorted_arrays(parents: pd.DataFrame) -> pd.DataFrame:
+    """The parents of one range as one row: keys in order, and their times."""
+    keys = search_keys(parents["key"])
+    order = np.argsort(keys, kind="stable")
+    return pd.DataFrame({"range": parents["range"].iloc[:1], "width": [keys.dtype.itemsize], "keys": [keys[order].tobytes()], "made": [parents["made"].to_numpy(np.int64)[order].tobytes()], "gone": [parents["gone"].to_numpy(np.int64)[order].tobytes()]})
+
+
 def _probe(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     """Binary search of a batch of references in the sorted keys of one range."""
     if not len(refs):
         return pd.DataFrame({"ref_id": [], "endpoint": [], "at": [], "kind": []})
-    parents = parents.sort_values("key", kind="stable")
-    keys = np.array([k.encode() for k in parents["key"]], dtype=np.bytes_)
-    want = np.array([k.encode() for k in refs["key"]], dtype=np.bytes_)
+    want = search_keys(refs["key"])
     at = refs["at"].to_numpy(np.int64)
     unknown = at == UNKNOWN
-    if len(keys):
+    if len(parents):
+        held = parents.iloc[0]
+        keys, made, gone = np.frombuffer(held["keys"], f"S{held['width']}"), np.frombuffer(held["made"], np.int64), np.frombuffer(held["gone"], np.int64)
         k = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        there = keys[k] == want
-        made, gone = parents["made"].to_numpy(np.int64)[k], parents["gone"].to_numpy(np.int64)[k]
+        there, made, gone = keys[k] == want, made[k], gone[k]
     else:
         there = np.zeros(len(want), bool)
         made, gone = np.full(len(want), -FAR), np.full(len(want), FAR)
@@ -65,16 +97,20 @@ def orphans(refs: DataFrame, parents: DataFrame, range_rows: int = RANGE_ROWS, b
         .agg(F.min(F.coalesce(micros("created_at"), F.lit(-FAR))).alias("made"), F.max(F.coalesce(micros("deleted_at"), F.lit(FAR))).alias("gone"))
     )
     asked = refs.where("key is not null").select("ref_id", "endpoint", "key", F.coalesce(micros("at"), F.lit(UNKNOWN)).alias("at"))
-    ranges = min(MOST_RANGES, max(1, round(parents.count() / range_rows)))
-    # ranges of the keys' hashes: of like size whatever the keys look like, and without a pass to find their bounds
-    bits = math.ceil(math.log2(ranges))
-    in_range = F.shiftrightunsigned(F.xxhash64("key"), 64 - bits).cast("int") if bits else F.lit(0)
-    known, asked = known.withColumn("range", in_range), asked.withColumn("range", in_range)
+    total = parents.count()
+    ranges = min(MOST_RANGES, max(1, round(total / range_rows)))
+    # those keys whose hashes are divisible by a number are a sample of them, of about PER_RANGE keys a range
+    step = max(1, total // (ranges * PER_RANGE))
+    some = np.sort(search_keys(known.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select("key").toArrow().column("key").to_pylist())) if ranges > 1 else search_keys([])
+    bounds = np.unique(some[(np.arange(1, ranges) * len(some)) // ranges]) if len(some) else some
+    with_range = lambda df: df.mapInArrow(_ranged(bounds), StructType([*df.schema.fields, StructField("range", IntegerType())]))
+    known, asked = with_range(known), with_range(asked)
+    arrays = known.groupBy("range").applyInPandas(_sorted_arrays, "range int, width int, keys binary, made binary, gone binary")
     # how many batches each range needs: at most MOST_RANGES rows
     parts = asked.groupBy("range").agg(F.ceil(F.count("*") / batch_rows).cast("int").alias("batches"))
     sizes = F.broadcast(parts)
     dealt = asked.join(sizes, "range").withColumn("batch", F.pmod(F.xxhash64("ref_id", "endpoint"), F.col("batches")).cast("int")).drop("batches")
-    copies = known.join(sizes, "range").withColumn("batch", F.explode(F.expr("sequence(0, batches - 1)"))).drop("batches")
+    copies = arrays.join(sizes, "range").withColumn("batch", F.explode(F.expr("sequence(0, batches - 1)"))).drop("batches")
     kind = refs.schema["ref_id"].dataType.simpleString()
     missed = dealt.groupBy("range", "batch").cogroup(copies.groupBy("range", "batch")).applyInPandas(_probe, f"ref_id {kind}, endpoint string, at bigint, kind string")
     return missed.withColumn("at", F.timestamp_micros(F.when(F.col("at") != UNKNOWN, F.col("at"))).cast(refs.schema["at"].dataType))

@@ -19,6 +19,14 @@ def test_kinds_hot_keys_and_nulls(spark):
     assert {r["at"] for r in got.where("ref_id = 'r10'").collect()} == {None}
 
 
+def test_keys_that_end_in_nul_or_are_very_long(spark):
+    parents = [("a", None, None), ("x" * 200, None, None), *((f"k{i}", None, None) for i in range(300))]
+    keys = ["a", "a\0", "\0a", "x" * 200, "x" * 199 + "y", *(f"k{i}" for i in range(300)), "k300"]
+    refs = [(str(i), "source", k, T(2025, 1, 1)) for i, k in enumerate(keys)]
+    got = orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS), range_rows=20, batch_rows=50)
+    assert {keys[int(r["ref_id"])] for r in got.collect()} == {"a\0", "\0a", "x" * 199 + "y", "k300"}
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], PARENTS), spark.createDataFrame([("r", "source", "a", T(2025, 1, 1))], REFS)
     assert [r["kind"] for r in orphans(some, none).collect()] == ["missing"]
