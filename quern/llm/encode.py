@@ -1,13 +1,14 @@
 """Encoding of texts with a public byte-level BPE tokenizer.
 
-Texts longer than ``chunk`` code points are cut into overlapping chunks that are pre-tokenised in parallel. Pre-tokenising has no
+Every text is cut into overlapping chunks, which are pre-tokenised in parallel: by tasks, and by threads inside a task. Pre-tokenising has no
 memory: from a position at which one pre-token ends, everything that follows depends on the text from there on only. So where the
 boundaries found in two neighbouring chunks agree inside their overlap, the later chunk is right from there on, and the text may be
 cut there. The pieces between these cuts are encoded one by one and their ids put together again. Decoding concatenates the bytes
-of the tokens.
+of the tokens. A text of one chunk has no overlap and is one piece.
 
 Defined results: null and empty texts give the empty list; repeated rows and rows with a null id each give a row; columns other than
-the id and the text are ignored; a long text whose chunks never agree (a single run of thousands of letters) is encoded whole.
+the id and the text are ignored; where two chunks never
+agree (a run of letters longer than the overlap) no cut is made and both are pre-tokenised again as one.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.runtime import table
@@ -28,7 +30,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space as the tokenizer's library sees it, spelt out for the library that marks the chunks.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKING = PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
-CHUNK, OVERLAP = 4096, 512
+_SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+CHUNK, OVERLAP, THREADS = 4096, 512, 4
 _encoders: dict[str, object] = {}
 
 
@@ -48,63 +51,59 @@ def decode(ids: list[int], folder: str = TOKENIZERS, name: str = "byte_bpe_50k")
     return b"".join(e.decode_single_token_bytes(i) for i in ids).decode("utf-8")
 
 
-def _lists(values: list[list[int]]) -> pa.Array:
-    return pa.array(values, pa.list_(pa.int32()))
-
-
-def _encode_column(folder: str, name: str, text: str):
-    """Replaces the text column of each batch by the list of ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(folder, name)
-        for batch in batches:
-            k = batch.schema.get_field_index(text)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [e.encode_ordinary(t) if t else [] for t in part.column(k).to_pylist()]
-                yield pa.RecordBatch.from_arrays([_lists(ids) if i == k else part.column(i) for i in range(part.num_columns)], names=part.schema.names)
-
-    return run
-
-
 def chunks_of(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
     """Start and text of each chunk; a chunk repeats the last ``overlap`` code points of the one before."""
     step = chunk - overlap
     return [(at, text[at : at + chunk]) for at in range(0, max(len(text) - overlap, 1), step)]
 
 
-def boundaries(part: str, start: int, overlap: int) -> tuple[list[int], list[int]]:
-    """Pre-token ends inside the first and inside the last ``overlap`` code points of a chunk, as positions in the text.
+def boundaries(part: str, start: int) -> list[int]:
+    """Pre-token ends of a chunk, as positions in the text.
 
     The last two of the chunk depend on what follows it and are left out. So are those behind white space: how a run of it is parted
     depends on whether anything follows, so a piece must not end with one.
     """
     import regex
 
-    ends = [m.end() for m in regex.finditer(MARKING, part)][:-2]
-    ends = [x for x in ends if not regex.match(f"[{SPACE}]", part[x - 1])]
-    tail = len(part) - overlap
-    return [start + x for x in ends if x <= overlap], [start + x for x in ends if x > tail]
+    ends = [m.end() for m in regex.finditer(MARKING, part, concurrent=True)][:-2]
+    return [start + x for x in ends if part[x - 1] not in _SPACES]
 
 
-def _cut(chunk: int, overlap: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                parts = chunks_of(text, chunk, overlap)
-                for at in range(0, len(parts), 64):
-                    some = parts[at : at + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some)), pa.array(range(at, at + len(some)), pa.int32()), pa.array([p[0] for p in some], pa.int64()), pa.array([p[1] for p in some])], names=["key", "no", "start", "text"])
+def pieces_of(text: str, chunk: int, overlap: int, marked: list[list[int]]) -> list[str]:
+    """The text cut where neighbouring chunks agree; ``marked``: the boundaries of each chunk but the only one of a short text.
+
+    A chunk is right from the first boundary on that it shares with a right one. Where two chunks share none, both are marked again as one.
+    """
+    cuts, right = [0], marked[0] if marked else []
+    step = chunk - overlap
+    for i in range(1, len(marked)):
+        start, end = i * step, min((i - 1) * step + chunk, len(text))
+        mine = set(marked[i])
+        agreed = next((x for x in right if start < x <= end and x in mine), None)
+        if agreed is None:
+            right = boundaries(text[cuts[-1] : i * step + chunk], cuts[-1])
+        else:
+            cuts.append(agreed)
+            right = marked[i]
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
-    return run
 
+def _encode_column(folder: str, name: str, chunk: int, overlap: int):
+    """Replaces the text column of each batch by the list of ids; the chunks of many texts are pre-tokenised side by side."""
 
-def _mark(overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [boundaries(t, s, overlap) for t, s in zip(batch.column("text").to_pylist(), batch.column("start").to_pylist())]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=[*batch.schema.names, "head", "tail"])
+        e = encoder(folder, name)
+        with ThreadPoolExecutor(THREADS) as pool:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    texts = [t or "" for t in part.column("text").to_pylist()]
+                    chunks = [chunks_of(t, chunk, overlap) for t in texts]
+                    # only overlaps need boundaries: the chunk of a short text has none
+                    marks = [[pool.submit(boundaries, c, s) for s, c in some] if len(some) > 1 else [] for some in chunks]
+                    pieces = [pieces_of(t, chunk, overlap, [m.result() for m in some]) for t, some in zip(texts, marks)]
+                    ids = [[i for p in some for i in e.encode_ordinary(p)] for some in pieces]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return run
 
@@ -112,35 +111,13 @@ def _mark(overlap: int):
 def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``id_col`` and ``ids`` (the list of token ids, without special tokens) of each row.
 
-    Texts of at most ``chunk`` code points, nearly all, are encoded where they are read, without a shuffle. Only longer ones are moved,
-    so that one very long text is spread over tasks.
+    Texts are encoded where they are read: nothing is shuffled, and every text goes the same way, whatever its length.
     """
     if not 0 < 2 * overlap < chunk:
         raise ValueError("the overlap must be less than half a chunk")
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = src.where(~long).mapInArrow(_encode_column(folder, name, "text"), f"id {kind}, text array<int>").withColumnRenamed("text", "ids")
-
-    # equal rows are one text with a count, so that the key tells rows apart also without ids
-    texts = src.where(long).groupBy("id", "text").agg(F.count("*").alias("copies")).withColumn("key", F.sha2(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("\0")), "text"), 256))
-    cut = texts.select("key", "text").mapInArrow(_cut(chunk, overlap), "key string, no int, start bigint, text string").repartition("key", "no")
-    marked = cut.mapInArrow(_mark(overlap), "key string, no int, start bigint, text string, head array<bigint>, tail array<bigint>")
-    order = Window.partitionBy("key").orderBy("no")
-    next_head = F.lead("head").over(order)
-    stitched = (
-        marked.withColumn("last", next_head.isNull())
-        .withColumn("end", F.array_min(F.array_intersect("tail", F.coalesce(next_head, F.array().cast("array<bigint>")))))
-        .withColumn("from", F.coalesce(F.lag("end").over(order), F.when(F.col("no") == 0, F.lit(0))))
-        .withColumn("lost", F.max(~F.col("last") & F.col("end").isNull()).over(Window.partitionBy("key")))
-    )
-    piece = F.expr("substring(text, int(`from` - start + 1), int(coalesce(`end`, start + length(text)) - `from`))")
-    pieces = stitched.where(~F.col("lost")).select("key", "no", piece.alias("text"))
-    whole = texts.join(stitched.where("lost and no = 0").select("key"), "key", "left_semi").select("key", F.lit(0).alias("no"), "text")
-    coded = pieces.union(whole).mapInArrow(_encode_column(folder, name, "text"), "key string, no int, text array<int>")
-    joined = coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"])).alias("ids"))
-    rows = texts.select("id", "key", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).join(joined, "key")
-    return short.union(rows.select("id", "ids")).select(F.col("id").alias(id_col), "ids")
+    return src.mapInArrow(_encode_column(folder, name, chunk, overlap), f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 r"""Cutting oversized texts into pieces at natural boundaries.
 
 One regular expression with bounded quantifiers does the cutting. Its alternatives stand in the order of boundary strength (end of a
-paragraph, end of a sentence, end of a word) and each takes as much as fits; the last one takes characters as they come. The
+paragraph, end of a sentence, end of a word), first with at least half a piece before them, then with less, and each takes as much as fits;
+the last one takes characters as they come. The
 overlap is looked up by the pieces' offsets, so that no piece depends on the one before and everything stays inside one row.
 
 Defined results: null texts and texts within the limit give no piece; every piece has at most ``limit`` code points; the pieces without
@@ -20,15 +21,14 @@ LIMIT, OVERLAP = 2000, 100
 
 
 def _cutter(limit: int) -> str:
-    take = rf"[\s\S]{{1,{limit}}}"
     ends = [
-        r"\z",
         r"(?<=\n[ \t\r]{0,8}\n)(?!\s*\z)",
         r"(?<=[.!?…。][\"'”’»)\]]{0,2}\s)(?=\S)",
         r"(?<=\s)(?=\S)",
-        "",
     ]
-    return "|".join(take + end for end in ends)
+    # first those that fill half a piece at least, so that a heading does not become a piece of its own
+    takes = [rf"[\s\S]{{{max(limit // 2, 1)},{limit}}}" + end for end in ends] + [rf"[\s\S]{{1,{limit}}}" + end for end in ends]
+    return "|".join([rf"[\s\S]{{1,{limit}}}\z", *takes, rf"[\s\S]{{1,{limit}}}"])
 
 
 def segments(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:

@@ -11,6 +11,7 @@ vector are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from quern.plans.runtime import in_force, stored, table
 
-DIM, SEED = 64, 20240917
-#: Tables of two hashes each for near pairs. At a cosine of 0.9 one table brings a pair together with a chance of about 0.4.
-PAIR_TABLES = 12
+DIM, SEED, SIGNS = 64, 20240917, 192
+#: Near pairs: the chance that a pair at the least cosine is found, and mean vectors a bucket. Buckets with more than HOT_LOAD rows, by a sample of one
+#: vector in SAMPLED, are dealt out.
+PAIR_RECALL, BUCKET_LOAD, HOT_LOAD, SAMPLED = 0.998, 64, 8192, 16
 #: Tables of one hash each, and axes probed in each, for the k most similar vectors.
 NEIGHBOUR_TABLES, PROBES = 12, 10
 #: Queries a pass of the search holds in memory (a quarter of a kB each).
@@ -73,36 +75,58 @@ def usable(c: Column, dim: int) -> Column:
     return F.coalesce((F.size(c) == dim) & ~bad & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-def _buckets(tables: int, dim: int):
+def _keys(x: np.ndarray, turn: np.ndarray, depth: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Own bucket and next bucket of each row in each table (tables x rows): the next one differs in the axis that was decided most narrowly."""
+    own, near = [], []
+    for t in range(len(turn) // depth):
+        axes, margin = [], []
+        for m in turn[t * depth : (t + 1) * depth]:
+            r = x @ m.T
+            two = nearest_axes(r, 2)
+            size = np.abs(np.take_along_axis(r, two % dim, axis=1))
+            axes.append(two)
+            margin.append(size[:, 0] - size[:, 1])
+        least = np.argmin(np.stack(margin), axis=0)
+        a, b = np.full(len(x), t, np.int64), np.full(len(x), t, np.int64)
+        for k, two in enumerate(axes):
+            a = a * 2 * dim + two[:, 0]
+            b = b * 2 * dim + np.where(least == k, two[:, 1], two[:, 0])
+        own.append(a)
+        near.append(b)
+    return np.stack(own), np.stack(near)
+
+
+def table_recall(least: float, depth: int, dim: int) -> float:
+    """The chance that one table brings two vectors with a cosine of ``least`` together, by simulation."""
+    rng = np.random.default_rng(SEED)
+    x = rng.normal(size=(20_000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = least * x + np.sqrt(max(1 - least * least, 0)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    turn = rotations(depth, dim)
+    (own_x, near_x), (own_y, near_y) = _keys(x.astype(np.float32), turn, depth, dim), _keys(y.astype(np.float32), turn, depth, dim)
+    return float(((own_x == own_y) | (own_x == near_y) | (near_x == own_y)).mean())
+
+
+def _buckets(tables: int, depth: int, dim: int):
     """Rows (bucket, id, sign bits): a vector's own bucket in each table, and the one it most nearly fell into.
 
     The last sign bit tells which of the two it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotations(2 * tables + 3, dim)
+        turn, signs = rotations(tables * depth, dim), rotations(-(-SIGNS // dim), dim, SEED + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = unit_rows(part.column("v"), dim).astype(np.float32)
-                n, ids = len(x), part.column("id").to_numpy()
-                bits = [np.packbits((x @ m.T) > 0, axis=1).view(np.int64).ravel() for m in turn[2 * tables :]]
-                keys = []
-                for t in range(tables):
-                    first, second, margin = [], [], []
-                    for m in turn[2 * t : 2 * t + 2]:
-                        r = x @ m.T
-                        axes = nearest_axes(r, 2)
-                        size = np.abs(np.take_along_axis(r, axes % dim, axis=1))
-                        first.append(axes[:, 0])
-                        second.append(axes[:, 1])
-                        margin.append(size[:, 0] - size[:, 1])
-                    other = margin[0] < margin[1]
-                    keys.append((t * 2 * dim + first[0]) * 2 * dim + first[1])
-                    keys.append((t * 2 * dim + np.where(other, second[0], first[0])) * 2 * dim + np.where(other, first[1], second[1]))
-                home = np.tile(np.repeat(np.array([1, 0]), n), tables)
-                last = (np.tile(bits[2], 2 * tables) & ~1) | home
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.tile(ids, 2 * tables)), pa.array(np.tile(bits[0], 2 * tables)), pa.array(np.tile(bits[1], 2 * tables)), pa.array(last)], names=["bucket", "id", "s0", "s1", "s2"])
+                ids = part.column("id").to_numpy()
+                bits = np.packbits(np.concatenate([(x @ m.T) > 0 for m in signs], axis=1)[:, :SIGNS], axis=1).view(np.int64)
+                own, near = _keys(x, turn, depth, dim)
+                home = np.repeat(np.array([1, 0]), tables * len(x))
+                last = (np.tile(bits[:, 2], 2 * tables) & ~1) | home
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own.ravel(), near.ravel()])), pa.array(np.tile(ids, 2 * tables)), pa.array(np.tile(bits[:, 0], 2 * tables)), pa.array(np.tile(bits[:, 1], 2 * tables)), pa.array(last)], names=["bucket", "id", "s0", "s1", "s2"])
 
     return run
 
@@ -117,34 +141,56 @@ def _cosines(dim: int):
     return run
 
 
-def near_pairs(df: DataFrame, id_col: str, vector_col: str, version_col: str, least: float = 0.9, tables: int = PAIR_TABLES, dim: int = DIM) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, vector_col: str, version_col: str, least: float = 0.9, recall: float = PAIR_RECALL, dim: int = DIM, load: int = BUCKET_LOAD) -> DataFrame:
     """(a, b, cosine) of the ids whose vectors, in the rows with the latest version, have a cosine of at least ``least``; a < b.
 
-    Vectors meet in buckets, all versions alike: which row is in force is asked of those that met only, so that vectors are not moved to
-    find out. Before vectors are fetched, 191 signs of random projections are compared; the signs two vectors differ in are binomial,
-    and the bound lies 3.5 deviations over their mean at ``least``.
+    Equal vectors are one class until the end. The number of hashes a table grows with the logarithm of the number of classes, so that the mean
+    bucket stays under ``load`` vectors, and the number of tables so that a pair at ``least`` is found with a chance of ``recall`` (pairs nearer
+    than that with a greater one). Buckets that a sample shows to hold many times more are dealt out. Before vectors are fetched, 191 signs of random
+    projections are compared; the signs two vectors differ in are binomial, and the bound lies 3.5 deviations over their mean at ``least``.
     """
-    if dim != 64:
-        raise ValueError("the sign bits are laid out for 64 dimensions")
+    if dim & (dim - 1):
+        raise ValueError("the Hadamard transform wants a power of two")
     kind = df.schema[id_col].dataType.simpleString()
     v = F.col(f"`{vector_col}`")
-    rows = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("name"), F.xxhash64(f"`{id_col}`", f"`{version_col}`", v).alias("id"), F.col(f"`{version_col}`").alias("version"), v.cast("array<float>").alias("v"))
-    fit = rows.where(usable(F.col("v"), dim))
-    put = fit.select("id", "v").mapInArrow(_buckets(tables, dim), "bucket int, id bigint, s0 bigint, s1 bigint, s2 bigint")
-    left, right = put.toDF("bucket", "a", "a0", "a1", "a2"), put.toDF("bucket", "b", "b0", "b1", "b2")
-    p, n = np.arccos(least) / np.pi, 3 * dim - 1
-    far = int(np.ceil(n * p + 3.5 * np.sqrt(n * p * (1 - p))))
+    # a class is told by the hash of its vector; two vectors that should share a hash are both fetched and compared
+    rows = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("name"), F.col(f"`{version_col}`").alias("version"), v.cast("array<float>").alias("v"))
+    rows = rows.withColumn("v", F.when(usable(F.col("v"), dim), F.col("v"))).withColumn("id", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    last = F.max(F.struct(F.col("version").isNotNull().alias("known"), "version", F.coalesce("id", F.lit(0)).alias("tie"), "id"))
+    members = stored(rows.groupBy("name").agg(last.alias("last")).select("name", F.col("last.id").alias("id")).where("id is not null"))
+    classes = stored(rows.where("id is not null").groupBy("id").agg(F.any_value("v").alias("v")))
+    depth = max(2, math.ceil(math.log(max(classes.count(), 1) / load) / math.log(2 * dim))) if load else 2
+    chance = table_recall(least, depth, dim)
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - chance)) if chance < 1 else 1
+    put = classes.mapInArrow(_buckets(tables, depth, dim), "bucket bigint, id bigint, s0 bigint, s1 bigint, s2 bigint")
+    p = np.arccos(least) / np.pi
+    far = int(np.ceil(SIGNS * p + 3.5 * np.sqrt(SIGNS * p * (1 - p))))
     differ = [F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")) for k in range(3)]
     apart = F.bit_count(differ[0]) + F.bit_count(differ[1]) + F.bit_count(differ[2].bitwiseAND(F.lit(-2)))
     home = F.col("a2").bitwiseOR(F.col("b2")).bitwiseAND(F.lit(1)) == 1
-    met = stored(left.join(right, "bucket").where((F.col("a") < F.col("b")) & home & (apart <= far)).select("a", "b").distinct())
+
+    def meeting(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+        a, b = left.withColumnsRenamed({"id": "a", "s0": "a0", "s1": "a1", "s2": "a2"}), right.withColumnsRenamed({"id": "b", "s0": "b0", "s1": "b1", "s2": "b2"})
+        return a.join(b, key).where((F.col("a") < F.col("b")) & home & (apart <= far)).select("a", "b")
+
+    some = classes.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLED)) == 0).mapInArrow(_buckets(tables, depth, dim), put.schema)
+    hot = stored(some.groupBy("bucket").agg(F.ceil(F.count("*") * SAMPLED / HOT_LOAD).cast("int").alias("parts")).where("parts > 1"))
+    if hot.isEmpty():
+        met = meeting(put, put, ["bucket"])
+    else:
+        cold = put.join(hot, "bucket", "left_anti")
+        left = put.join(hot, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        right = put.join(hot, "bucket").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+        met = meeting(cold, cold, ["bucket"]).unionByName(meeting(left, right, ["bucket", "part"]))
+    met = stored(met.distinct())
     asked = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    last = rows.groupBy("name").agg(F.max(F.struct(F.col("version").isNotNull().alias("known"), "version", "id")).alias("last")).select("name", F.col("last.id").alias("id"))
-    found = stored(fit.select("name", "id", "v").join(asked, "id", "left_semi").dropDuplicates(["name", "id"]).join(last, ["name", "id"], "left_semi"))
-    of = lambda c: found.select(F.col("id").alias(f"h{c}"), F.col("name").alias(c), F.col("v").alias(f"v{c}"))
-    both = met.toDF("ha", "hb").join(of("a"), "ha").join(of("b"), "hb").where(F.col("a") != F.col("b")).select("a", "b", "va", "vb")
-    cos = both.mapInArrow(_cosines(dim), f"a {kind}, b {kind}, cosine double").where(F.col("cosine") >= least)
-    return cos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").distinct()
+    found = stored(classes.join(asked, "id", "left_semi"))
+    of = lambda c: found.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"))
+    near = met.join(of("a"), "a").join(of("b"), "b").mapInArrow(_cosines(dim), "a bigint, b bigint, cosine double").where(F.col("cosine") >= least)
+    name = lambda c: members.select(F.col("id").alias(c), F.col("name").alias(f"name_{c}"))
+    across = near.join(name("a"), "a").join(name("b"), "b").select("name_a", "name_b", "cosine")
+    within = name("a").join(name("b"), F.col("a") == F.col("b")).where("name_a < name_b").select("name_a", "name_b", F.lit(1.0).alias("cosine"))
+    return across.unionByName(within).select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "cosine")
 
 
 def _search(names: list, q: np.ndarray, k: int, tables: int, probes: int, dim: int):

@@ -41,6 +41,13 @@ def pieces_of(spark, texts, limit, overlap):
     return out
 
 
+def test_a_heading_is_no_piece(spark):
+    text = "Title\n\n" + "Some words stand here. " * 220
+    sizes = [len(p["content"]) for p in pieces_of(spark, [text], 2000, 100)[0]]
+    assert len(sizes) == 3 and min(sizes) > 1000 and max(sizes) <= 2000
+    assert len(pieces_of(spark, ["short\n\n" + "x" * 4000], 2000, 100)[0][0]["content"]) == 7  # the only boundary there is
+
+
 def test_splitting_round_trip(spark):
     rng = random.Random(5)
     texts = [t for t in ODD] + ["".join(rng.choice(["word ", "Sentence end. ", "para\n\n", "x" * 40 + " ", "日本 ", "\n", "😀"]) for _ in range(rng.randrange(300))) for _ in range(25)]
@@ -95,20 +102,22 @@ def test_shared_spans_against_brute_force(spark):
     df = spark.createDataFrame(rows, "id bigint, text string").withColumn("class", F.lit(1))
     found = SharedSpans(df, "id", "text", 30, 25)
     members = {r["id"]: r["class"] for r in found.members.collect()}
-    pairs = {(r["a"], r["b"]) for r in found.pairs.collect()}
+    pairs = {(r["a"], r["b"]) for r in found.pairs().collect()}
     windows = {i: {t[k : k + 30] for k in range(len(t) - 29)} for i, t in enumerate(texts) if t and len(t) >= 30}
     for i in windows:
         for j in windows:
             if i < j:
                 a, b = members[i], members[j]
                 assert bool(windows[i] & windows[j]) == (a == b or (min(a, b), max(a, b)) in pairs), (i, j)
-    for r in found.pairs.collect():
-        for side, spans_ in (("a", r["in_a"]), ("b", r["in_b"])):
-            mine, other = texts[r[side]], texts[r["b" if side == "a" else "a"]]
-            held = {k for s in spans_ for k in range(s["start"], s["end"])}
-            want = {k for at in range(len(mine) - 29) if mine[at : at + 30] in other for k in range(at, at + 30)}
-            assert held == want
-    assert SharedSpans(df.limit(0), "id", "text").pairs.count() == 0
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for r in found.spans.collect():
+        spans.setdefault(r["class"], []).append((r["start"], r["end"]))
+    for i in {c for c in members.values()}:
+        mine, others = texts[i], set().union(*(windows[j] for j in windows if members[j] != i))
+        want = {k for at in range(len(mine) - 29) if mine[at : at + 30] in others for k in range(at, at + 30)}
+        assert {k for s, e in spans.get(i, []) for k in range(s, e)} == want
+        assert all(b < c for (_, b), (c, _) in zip(sorted(spans.get(i, [])), sorted(spans.get(i, []))[1:]))
+    assert SharedSpans(df.limit(0), "id", "text").pairs().count() == 0
 
 
 def test_leaks_against_brute_force(spark):
