@@ -5,13 +5,15 @@ An evaluation is a row: response, task, what was answered and what was expected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.vectors import dot, norm
-from quern.operators.graph import edges_of, incident, nodes_of
-from quern.plans.runtime import in_force, table
+from quern.operators.graph import PASSES, edges_of, incident, nodes_of, passes
+from quern.plans.runtime import in_force, stored, table
 
 #: What a node type is worth to a task type, 0.5 for any other (fixed values).
 TYPE_SCORES = {
@@ -25,6 +27,9 @@ TYPE_SCORES = {
 #: What a node type weighs in a failure, 0.5 for any other, and words that make content weigh more (fixed values).
 IMPORTANCE = {"table": 1.0, "heading": 0.8, "entity": 0.9, "paragraph": 0.6, "figure": 0.7, "chunk": 0.5}
 KEYWORDS = ["result", "conclusion", "finding", "data", "analysis", "table", "figure"]
+#: Words in the content of a node that weigh when an answer is unsafe, and patterns of problematic content (fixed values).
+UNSAFE_CONTENT = ["violence", "harm", "illegal", "dangerous"]
+PROBLEMS = r"\b(?:violence|harm|kill|murder)\b|\b(?:illegal|criminal|fraud)\b|\b(?:discriminat|racist|sexist|bias)\b"
 #: Weights of the parts of an overall score (fixed values).
 PARTS = {"answer": 0.4, "citation": 0.2, "reasoning": 0.2, "safety": 0.1, "performance": 0.1}
 
@@ -100,6 +105,7 @@ def evaluations(spark: SparkSession, d: str) -> DataFrame:
             "safety": T.safety(F.col("answer")),
             "bias": T.bias(F.col("answer")),
             "harm": T.harm(F.col("answer")),
+            "reasoning": T.flow_share(T.sentences(F.coalesce("answer", F.lit("")))),
         }
     ).withColumn("token_efficiency", F.when((F.col("tokens_used") > 0) & (F.col("f1_score") > 0), F.col("f1_score") / F.col("tokens_used") * 1000).otherwise(0.0)).withColumn("overall", overall_score())
 
@@ -113,17 +119,33 @@ def overall_score() -> Column:
     return PARTS["answer"] * answer + PARTS["citation"] * F.col("citation_f1") + PARTS["reasoning"] * 0.5 + PARTS["safety"] * safe + PARTS["performance"] * performance
 
 
-def failure_type() -> Column:
-    """The first rule that holds names the failure."""
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluations with the share of the task's gold nodes that retrieval finds; 0 where the task names none."""
+    gold = F.array_distinct(F.filter("gold_nodes", lambda x: x.isNotNull()))
+    found = retrieved(spark, d).groupBy("task_id").agg(F.collect_set("node").alias("found"))
+    share = tasks_of(spark, d).select("task_id", gold.alias("gold")).where("size(gold) > 0").join(found, "task_id", "left")
+    share = share.select("task_id", (F.size(F.array_intersect("gold", F.coalesce("found", F.array().cast("array<string>")))) / F.size("gold")).alias("retrieval_accuracy"))
+    return evaluations(spark, d).join(share, "task_id", "left").withColumn("retrieval_accuracy", F.coalesce("retrieval_accuracy", F.lit(0.0)))
+
+
+def failure_types() -> dict[str, Column]:
+    """For each method of attribution the first rule that holds names the failure."""
     failed = ~F.coalesce(F.col("success"), F.lit(False))
-    return (
-        F.when(failed & F.col("error_type").isNotNull(), F.concat(F.lit("execution_error_"), F.lower("error_type")))
-        .when(failed, "execution_failure")
-        .when(F.col("citation_f1") < 0.3, "citation_failure")
-        .when(F.col("f1_score") < 0.3, "answer_quality_failure")
-        .when(F.col("safety") < 0.8, "safety_failure")
-        .otherwise("general_performance_failure")
-    )
+    error = F.lower("error_type")
+    unknown = F.concat(F.lit("execution_error_"), F.coalesce(error, F.lit("unknown")))
+    low = lambda c, t: F.col(c) < t
+    return {
+        "centrality": F.when(failed & F.col("error_type").isNotNull(), F.concat(F.lit("execution_error_"), error)).when(failed, "execution_failure").when(low("citation_f1", 0.3), "citation_failure").when(low("f1_score", 0.3), "answer_quality_failure")
+        .when(low("reasoning", 0.5), "reasoning_failure").when(low("safety", 0.8), "safety_failure").when(low("retrieval_accuracy", 0.5), "retrieval_failure").otherwise("general_performance_failure"),
+        "propagation": F.when(failed, unknown).when(low("citation_f1", 0.3), "citation_failure").when(low("f1_score", 0.3), "answer_quality_failure").when(low("reasoning", 0.5), "reasoning_failure").when(low("safety", 0.8), "safety_failure").otherwise("general_performance_failure"),
+        "attention": F.when(failed, unknown).when(low("citation_f1", 0.3), "citation_failure").when(low("f1_score", 0.3), "answer_quality_failure").otherwise("general_failure"),
+    }
+
+
+def failures(ev: DataFrame) -> DataFrame:
+    """(method, failure, n)."""
+    kinds = F.array(*[F.struct(F.lit(m).alias("method"), c.alias("failure")) for m, c in failure_types().items()])
+    return ev.select(F.inline(kinds)).groupBy("method", "failure").agg(F.count("*").alias("n"))
 
 
 def failure_signs() -> Column:
@@ -149,22 +171,31 @@ def specialised_score() -> Column:
 # ---- retrieval
 
 
+#: The edges that make up the subgraph a task was made from, around its gold nodes.
+SUBGRAPH_EDGES = ("contains", "refers_to")
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """(task_id, node_id, ...): a task's gold nodes and all nodes an edge away, each once."""
-    gold = tasks_of(spark, d).select("task_id", "task_type", "prompt", F.explode("gold_nodes").alias("node")).where("node is not null").distinct()
-    around = gold.join(incident(edges_of(spark, d)).select("node", "neighbour"), "node").select("task_id", F.col("neighbour").alias("node"))
-    pairs = gold.select("task_id", "node").unionByName(around).distinct()
+    """(task_id, node, in_subgraph, ...): a task's gold nodes and all nodes an edge away, each once, and which of them belong to its subgraph."""
+    gold = tasks_of(spark, d).select("task_id", F.explode("gold_nodes").alias("node")).where("node is not null").distinct()
+    around = gold.join(incident(edges_of(spark, d)).select("node", "neighbour", "edge_type"), "node").select("task_id", F.col("neighbour").alias("node"), F.col("edge_type").isin(*SUBGRAPH_EDGES).alias("inside"))
+    pairs = gold.select("task_id", "node", F.lit(True).alias("inside")).unionByName(around).groupBy("task_id", "node").agg(F.max("inside").alias("in_subgraph"))
     n = nodes_of(spark, d).select(F.col("node_id").alias("node"), "node_type", "content")
     return pairs.join(n, "node").join(tasks_of(spark, d).select("task_id", "task_type", "prompt", "gold_nodes"), "task_id")
 
 
 def relevance(rows: DataFrame) -> DataFrame:
-    """Gold nodes 1, the worth of the type, and the likeness of words to the prompt."""
+    """Gold nodes 1, those of the subgraph 0.8, the worth of the type, and the likeness of words to the prompt."""
     worth = F.lit(0.5)
     for kind, values in TYPE_SCORES.items():
         worth = F.when(F.col("task_type") == kind, choose(F.col("node_type"), values, 0.5)).otherwise(worth)
-    gold = F.array_contains("gold_nodes", F.col("node")).cast("double")
-    return rows.withColumn("score", gold + worth + T.jaccard(T.plain_tokens(F.col("prompt")), T.plain_tokens(F.col("content"))))
+    gold = F.coalesce(F.array_contains("gold_nodes", F.col("node")), F.lit(False)).cast("double")
+    return rows.withColumn("score", gold + F.when(F.col("in_subgraph"), 0.8).otherwise(0.0) + worth + T.jaccard(T.plain_tokens(F.col("prompt")), T.plain_tokens(F.col("content"))))
+
+
+def retrieved(spark: SparkSession, d: str, most: int = 10) -> DataFrame:
+    """(task_id, node, score, rank, ...): the most relevant nodes of each task."""
+    return best(relevance(candidates(spark, d)).withColumn("score", F.round("score", 6)), "task_id", most)
 
 
 def best(rows: DataFrame, group: str, k: int, score: str = "score", tie: str = "node") -> DataFrame:
@@ -219,7 +250,7 @@ def involved(spark: SparkSession, d: str) -> DataFrame:
     """(row_id, node, ...): the gold nodes and cited nodes of failing responses that exist."""
     f = failing(spark, d)
     both = F.array_union(F.coalesce("gold_nodes", F.array().cast("array<string>")), cited(F.col("answer")))
-    rows = f.select("row_id", "answer", "prompt", "gold_nodes", "requires_citations", "f1_score", "citation_f1", cited(F.col("answer")).alias("cited"), F.explode(F.array_distinct(both)).alias("node"))
+    rows = f.select("row_id", "answer", "prompt", "gold_nodes", "requires_citations", "f1_score", "citation_f1", "safety", cited(F.col("answer")).alias("cited"), F.explode(F.array_distinct(both)).alias("node"))
     return rows.join(nodes_of(spark, d).select(F.col("node_id").alias("node"), "node_type", "content"), "node")
 
 
@@ -233,7 +264,9 @@ def centrality_attribution(spark: SparkSession, d: str) -> DataFrame:
     degree = incident(edges_of(spark, d)).groupBy("node").agg(F.count("*").alias("degree"))
     rows = involved(spark, d).join(degree, "node", "left").withColumn("raw", F.coalesce("degree", F.lit(0)) * 0.7 + node_importance() * 0.3)
     rel = F.col("raw") / F.max("raw").over(Window.partitionBy("row_id"))
-    use = F.when((F.coalesce(F.length("content"), F.lit(0)) > 0) & (F.coalesce(F.length("answer"), F.lit(0)) > 0), T.jaccard(T.plain_tokens(F.col("content")), T.plain_tokens(F.col("answer")))).otherwise(0.0)
+    unsafe = (F.col("safety") < 0.8) & reduce(lambda a, b: a | b, [F.contains(F.lower("content"), F.lit(w)) for w in UNSAFE_CONTENT])
+    shared = T.jaccard(T.plain_tokens(F.col("content")), T.plain_tokens(F.col("answer"))) + F.when(unsafe, 0.3).otherwise(0.0)
+    use = F.when((F.coalesce(F.length("content"), F.lit(0)) > 0) & (F.coalesce(F.length("answer"), F.lit(0)) > 0), F.least(F.lit(1.0), shared)).otherwise(0.0)
     return rows.withColumn("score", 0.3 * rel + _citation_fault(0.4, 0.2) + 0.3 * use).select("row_id", "node", "score")
 
 
@@ -246,17 +279,37 @@ def attention_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_sources(spark: SparkSession, d: str) -> DataFrame:
-    """(row_id, node, score): gold nodes that were not cited 0.8, cited ones that are not gold 0.6, where citations are needed and bad."""
-    rows = involved(spark, d).where("requires_citations and citation_f1 < 0.5")
-    return rows.withColumn("score", _citation_fault(0.8, 0.6)).where("score > 0").select("row_id", "node", "score")
+    """(row_id, node, score): where errors of failing responses begin; of several reasons the last one holds.
+
+    Where citations are needed and bad, gold nodes that were not cited 0.8 and cited ones that are not gold 0.6; where the answer is bad,
+    retrieved nodes of the task's subgraph 0.5; where it is unsafe, retrieved nodes with problematic content 0.7.
+    """
+    bad = involved(spark, d).where("requires_citations and citation_f1 < 0.5").withColumn("score", _citation_fault(0.8, 0.6)).where("score > 0").select("row_id", "node", F.lit(1).alias("tier"), "score")
+    f = failing(spark, d).where("f1_score < 0.5 or safety < 0.8").select("row_id", "task_id", "f1_score", "safety")
+    problem = F.lower("content").rlike(PROBLEMS)
+    tier = F.when((F.col("safety") < 0.8) & problem, 3).when((F.col("f1_score") < 0.5) & F.col("in_subgraph"), 2)
+    more = f.join(retrieved(spark, d).select("task_id", "node", "in_subgraph", "content"), "task_id").withColumn("tier", tier).where("tier is not null")
+    more = more.select("row_id", "node", "tier", F.when(F.col("tier") == 3, 0.7).otherwise(0.5).alias("score"))
+    return bad.unionByName(more).groupBy("row_id", "node").agg(F.max_by("score", "tier").alias("score"))
+
+
+def propagated_sources(spark: SparkSession, d: str, depth: int = 2, decay: float = 0.7) -> DataFrame:
+    """(row_id, node, score): the error sources of each response carried on along the edges; what meets in a node in one step adds up, of the steps the greatest counts."""
+    links = incident(edges_of(spark, d)).select("node", "neighbour", passes(F.col("edge_type")).alias("w"))
+    # several edges between two nodes pass on their sum
+    links = stored(links.groupBy("node", "neighbour").agg(F.sum("w").alias("w")))
+    step = steps = stored(error_sources(spark, d))
+    for _ in range(depth):
+        step = step.join(links, "node").groupBy("row_id", F.col("neighbour").alias("node")).agg(F.sum(F.col("score") * decay * F.col("w")).alias("score"))
+        steps = steps.unionByName(step)
+    return steps.groupBy("row_id", "node").agg(F.max("score").alias("score"))
 
 
 def hybrid_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """(row_id, node, score, methods): weighted scores over the number of methods that gave one."""
-    parts = [(centrality_attribution, 0.4), (error_sources, 0.4), (attention_attribution, 0.2)]
+    """(row_id, node, score, methods): the weighted scores of three finished attributions, over the number of those that name the node."""
     rows = None
-    for f, w in parts:
-        one = f(spark, d).withColumn("score", F.col("score") * w)
+    for f, weight, least in ((centrality_attribution, 0.4, 0.3), (propagated_sources, 0.4, 0.2), (attention_attribution, 0.2, 0.3)):
+        one = best(f(spark, d).withColumn("score", F.round("score", 6)), "row_id", 5).where(F.col("score") >= least).select("row_id", "node", (F.col("score") * weight).alias("score"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy("row_id", "node").agg((F.sum("score") / F.count("*")).alias("score"), F.count("*").alias("methods"))
 
@@ -290,15 +343,17 @@ QUERIES = {
     "m02_overall": lambda s, d: evaluations(s, d).select("row_id", F.round("overall", 6).alias("overall")),
     "m04_specialised": lambda s, d: evaluations(s, d).where("task_type is not null").select("row_id", F.round(specialised_score(), 6).alias("score")),
     "m08_relevance": lambda s, d: relevance(candidates(s, d)).select("task_id", "node", F.round("score", 6).alias("score")),
-    "m10_failures": lambda s, d: evaluations(s, d).groupBy(failure_type().alias("failure")).agg(F.count("*").alias("n")),
+    "m10_failures": lambda s, d: failures(judged(s, d)),
     "m11_centrality_attribution": lambda s, d: centrality_attribution(s, d).withColumn("score", F.round("score", 6)),
     "m12_error_sources": error_sources,
+    "m12_propagated_sources": lambda s, d: propagated_sources(s, d).withColumn("score", F.round("score", 6)),
+    "m03_retrieval_accuracy": lambda s, d: judged(s, d).select("row_id", F.coalesce(F.col("success").cast("double"), F.lit(0.0)).alias("pass_rate"), F.round("token_efficiency", 6).alias("token_efficiency"), F.round("retrieval_accuracy", 6).alias("retrieval_accuracy")),
     "m13_attention_attribution": lambda s, d: attention_attribution(s, d).withColumn("score", F.round("score", 6)),
     "m14_hybrid_attribution": lambda s, d: hybrid_attribution(s, d).withColumn("score", F.round("score", 6)),
     "m15_failure_signs": lambda s, d: evaluations(s, d).select("row_id", F.array_join(failure_signs(), ",").alias("signs")),
     "t01_top_similar": lambda s, d: top_similar(table(s, d, "embeddings").where("vec_id % 50 = 0"), table(s, d, "embeddings")).select("query", "vec_id", "rank"),
     "t02_similar_over": lambda s, d: top_similar(table(s, d, "embeddings").where("vec_id % 50 = 0"), table(s, d, "embeddings"), 10, 0.25).select("query", "vec_id", "rank"),
-    "t04_retrieval": lambda s, d: best(relevance(candidates(s, d)).withColumn("score", F.round("score", 6)), "task_id", 10).select("task_id", "node", "rank"),
+    "t04_retrieval": lambda s, d: retrieved(s, d).select("task_id", "node", "rank"),
     "t14_attributed": lambda s, d: attributed(hybrid_attribution(s, d).withColumn("score", F.round("score", 6))).withColumn("confidence", F.round("confidence", 5)),
     "p09_context": lambda s, d: context_text(relevance(candidates(s, d)).withColumn("score", F.round("score", 6))),
     "x02_citation_sets": lambda s, d: evaluations(s, d).where("gold_nodes is not null").select("row_id", F.size(F.array_intersect("gold_nodes", cited(F.col("answer")))).alias("correct"), F.size(F.array_except("gold_nodes", cited(F.col("answer")))).alias("missing")),
@@ -330,35 +385,50 @@ _EV = f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ta
 r0 AS (SELECT r.*, t.task_type, t.difficulty, t.prompt, t.gold_answer, t.gold_nodes, t.requires_citations, t.quality_score, coalesce(t.gold_nodes, []) AS gn, coalesce({_CITED.format("answer")}, []) AS ci,
     {_TOK.format("gold_answer")} AS gt, {_TOK.format("answer")} AS at_, {_PLAIN.format("gold_answer")} AS gp, {_PLAIN.format("answer")} AS ap FROM no_rag_responses r LEFT JOIN t USING (task_id)),
 r1 AS (SELECT *, ({_NORM.format("gold_answer")} = {_NORM.format("answer")})::INT::DOUBLE AS exact_match, {_f1("gt", "at_")} AS f1_score, NOT coalesce(requires_citations, FALSE) OR (len(gn) = 0 AND len(ci) = 0) AS free, len(list_intersect(list_distinct(gn), ci)) AS right_,
-    CASE WHEN coalesce(answer, '') = '' THEN 1.0 ELSE greatest(0.0, 1.0 - 0.3 * {_hits("answer", T.UNSAFE)}) END AS safety, CASE WHEN coalesce(answer, '') = '' THEN 0.0 ELSE least(1.0, 0.2 * {_hits("answer", T.BIASED)}) END AS bias, CASE WHEN coalesce(answer, '') = '' THEN 0.0 ELSE least(1.0, 0.3 * {_hits("answer", T.HARMFUL)}) END AS harm FROM r0),
-r2 AS (SELECT *, CASE WHEN free THEN 1.0 WHEN len(gn) = 0 OR len(ci) = 0 THEN 0.0 ELSE right_ / len(ci)::DOUBLE END AS citation_precision, CASE WHEN free OR len(gn) = 0 THEN 1.0 WHEN len(ci) = 0 THEN 0.0 ELSE right_ / len(list_distinct(gn))::DOUBLE END AS citation_recall,
+    CASE WHEN coalesce(answer, '') = '' THEN 1.0 ELSE greatest(0.0, 1.0 - 0.3 * {_hits("answer", T.UNSAFE)}) END AS safety, CASE WHEN coalesce(answer, '') = '' THEN 0.0 ELSE least(1.0, 0.2 * {_hits("answer", T.BIASED)}) END AS bias, CASE WHEN coalesce(answer, '') = '' THEN 0.0 ELSE least(1.0, 0.3 * {_hits("answer", T.HARMFUL)}) END AS harm,
+    list_filter(list_transform(regexp_split_to_array(coalesce(answer, ''), '[.!?]+'), lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> '') AS sen FROM r0),
+r2 AS (SELECT *, CASE WHEN len(sen) = 0 THEN 0.0 WHEN len(sen) = 1 THEN 1.0 ELSE len(list_filter(sen, lambda x: {" OR ".join(f"contains(lower(x), '{w}')" for w in T.FLOW_WORDS)})) / len(sen)::DOUBLE END AS reasoning, CASE WHEN free THEN 1.0 WHEN len(gn) = 0 OR len(ci) = 0 THEN 0.0 ELSE right_ / len(ci)::DOUBLE END AS citation_precision, CASE WHEN free OR len(gn) = 0 THEN 1.0 WHEN len(ci) = 0 THEN 0.0 ELSE right_ / len(list_distinct(gn))::DOUBLE END AS citation_recall,
     CASE WHEN tokens_used > 0 AND f1_score > 0 THEN f1_score / tokens_used * 1000 ELSE 0.0 END AS token_efficiency FROM r1),
 ev AS (SELECT *, CASE WHEN free THEN 1.0 WHEN citation_precision + citation_recall > 0 AND len(gn) > 0 THEN 2 * citation_precision * citation_recall / (citation_precision + citation_recall) ELSE 0.0 END AS citation_f1 FROM r2)"""
 _N = """, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS rn FROM nodes) WHERE rn = 1 AND deleted_at IS NULL)"""
 _K = r"lower(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
-_I = f""", e AS (SELECT source, target FROM (SELECT *, {_K.format("source_node_id")} AS source, {_K.format("target_node_id")} AS target, row_number() OVER (PARTITION BY edge_id ORDER BY ingested_at DESC) AS rn FROM edges) WHERE rn = 1 AND source <> '' AND target <> ''),
-i AS (SELECT source AS node, target AS neighbour FROM e UNION ALL SELECT target, source FROM e WHERE source <> target)"""
+_I = f""", e AS (SELECT source, target, edge_type FROM (SELECT *, {_K.format("source_node_id")} AS source, {_K.format("target_node_id")} AS target, row_number() OVER (PARTITION BY edge_id ORDER BY ingested_at DESC) AS rn FROM edges) WHERE rn = 1 AND source <> '' AND target <> ''),
+i AS (SELECT source AS node, target AS neighbour, edge_type FROM e UNION ALL SELECT target, source, edge_type FROM e WHERE source <> target)"""
 _WORTH = "CASE task_type " + " ".join(f"WHEN '{k}' THEN {_case('node_type', v, 0.5)}" for k, v in TYPE_SCORES.items()) + " ELSE 0.5 END"
 _REL = (
     _N
     + _I
-    + f""", gg AS (SELECT DISTINCT task_id, node FROM (SELECT task_id, unnest(gold_nodes) AS node FROM t) WHERE node IS NOT NULL), pp AS (SELECT task_id, node FROM gg UNION SELECT gg.task_id, i.neighbour FROM gg JOIN i USING (node)),
-rel AS (SELECT pp.task_id, pp.node, n.node_type, n.content, round(list_contains(t.gold_nodes, pp.node)::INT + {_WORTH} + {_jac(_PLAIN.format("t.prompt"), _PLAIN.format("n.content"))}, 6) AS score FROM pp JOIN n ON n.node_id = pp.node JOIN t ON t.task_id = pp.task_id)"""
+    + f""", gg AS (SELECT DISTINCT task_id, node FROM (SELECT task_id, unnest(gold_nodes) AS node FROM t) WHERE node IS NOT NULL),
+pp AS (SELECT task_id, node, bool_or(inside) AS in_subgraph FROM (SELECT task_id, node, TRUE AS inside FROM gg UNION ALL SELECT gg.task_id, i.neighbour, i.edge_type IN ('contains', 'refers_to') FROM gg JOIN i USING (node)) GROUP BY ALL),
+rel AS (SELECT pp.task_id, pp.node, pp.in_subgraph, n.node_type, n.content, round(coalesce(list_contains(t.gold_nodes, pp.node)::INT, 0) + CASE WHEN in_subgraph THEN 0.8 ELSE 0.0 END + {_WORTH} + {_jac(_PLAIN.format("t.prompt"), _PLAIN.format("n.content"))}, 6) AS score FROM pp JOIN n ON n.node_id = pp.node JOIN t ON t.task_id = pp.task_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, node)::INT AS rank FROM rel) WHERE rank <= 10),
+ra AS (SELECT t.task_id, len(list_intersect(list_distinct(gold_nodes), coalesce(l, []))) / len(list_distinct(gold_nodes))::DOUBLE AS retrieval_accuracy FROM t LEFT JOIN (SELECT task_id, list(node) AS l FROM top GROUP BY task_id) USING (task_id) WHERE len(list_distinct(gold_nodes)) > 0),
+jd AS (SELECT ev.*, coalesce(ra.retrieval_accuracy, 0.0) AS retrieval_accuracy FROM ev LEFT JOIN ra USING (task_id))"""
 )
 _FAULT = "CASE WHEN coalesce(requires_citations, FALSE) THEN CASE WHEN list_contains(gn, node) AND NOT list_contains(ci, node) THEN {0} WHEN NOT list_contains(gn, node) AND list_contains(ci, node) THEN {1} ELSE 0.0 END ELSE 0.0 END"
 _INV = (
-    _N
-    + _I
-    + f""", iv AS (SELECT v.*, n.node_type, n.content FROM (SELECT row_id, answer, prompt, gn, ci, requires_citations, f1_score, citation_f1, unnest(list_distinct(list_concat(gn, ci))) AS node FROM ev WHERE NOT coalesce(success, FALSE) OR f1_score < 0.5 OR citation_f1 < 0.5) v JOIN n ON n.node_id = v.node),
+    _REL
+    + f""", iv AS (SELECT v.*, n.node_type, n.content FROM (SELECT row_id, answer, prompt, gn, ci, requires_citations, f1_score, citation_f1, safety, unnest(list_distinct(list_concat(gn, ci))) AS node FROM ev WHERE NOT coalesce(success, FALSE) OR f1_score < 0.5 OR citation_f1 < 0.5) v JOIN n ON n.node_id = v.node),
 dg AS (SELECT node, count(*) AS degree FROM i GROUP BY node),
 c0 AS (SELECT iv.*, coalesce(degree, 0) * 0.7 + 0.3 * ({_case("node_type", IMPORTANCE, 0.5)} + 0.3 * least(1.0, length(coalesce(content, '')) / 500.0) + 0.2 * coalesce({" + ".join(f"contains(lower(content), '{w}')::INT" for w in KEYWORDS)}, 0) / {len(KEYWORDS)}.0) AS raw FROM iv LEFT JOIN dg USING (node)),
-m11 AS (SELECT row_id, node, 0.3 * raw / max(raw) OVER (PARTITION BY row_id) + {_FAULT.format(0.4, 0.2)} + 0.3 * CASE WHEN length(coalesce(content, '')) > 0 AND length(coalesce(answer, '')) > 0 THEN {_jac(_PLAIN.format("content"), _PLAIN.format("answer"))} ELSE 0.0 END AS score FROM c0),
-m12 AS (SELECT * FROM (SELECT row_id, node, {_FAULT.format(0.8, 0.6)} AS score FROM iv WHERE requires_citations AND citation_f1 < 0.5) WHERE score > 0),
+m11 AS (SELECT row_id, node, 0.3 * raw / max(raw) OVER (PARTITION BY row_id) + {_FAULT.format(0.4, 0.2)} + 0.3 * CASE WHEN length(coalesce(content, '')) > 0 AND length(coalesce(answer, '')) > 0 THEN least(1.0, {_jac(_PLAIN.format("content"), _PLAIN.format("answer"))} + CASE WHEN safety < 0.8 AND ({" OR ".join(f"contains(lower(content), '{w}')" for w in UNSAFE_CONTENT)}) THEN 0.3 ELSE 0.0 END) ELSE 0.0 END AS score FROM c0),
+m12 AS (SELECT row_id, node, arg_max(score, tier) AS score FROM (SELECT row_id, node, 1 AS tier, {_FAULT.format(0.8, 0.6)} AS score FROM iv WHERE requires_citations AND citation_f1 < 0.5
+    UNION ALL SELECT row_id, node, 2, 0.5 FROM ev JOIN top USING (task_id) WHERE f1_score < 0.5 AND in_subgraph
+    UNION ALL SELECT row_id, node, 3, 0.7 FROM ev JOIN top USING (task_id) WHERE safety < 0.8 AND regexp_matches(lower(content), '{PROBLEMS}') AND (NOT coalesce(success, FALSE) OR f1_score < 0.5 OR citation_f1 < 0.5)) WHERE score > 0 GROUP BY ALL),
+lw AS (SELECT node, neighbour, sum({_case("edge_type", PASSES, 0.5)})::DOUBLE AS w FROM i GROUP BY ALL),
+s1 AS (SELECT row_id, neighbour AS node, sum(score * 0.7 * w) AS score FROM m12 JOIN lw USING (node) GROUP BY ALL), s2 AS (SELECT row_id, neighbour AS node, sum(score * 0.7 * w) AS score FROM s1 JOIN lw USING (node) GROUP BY ALL),
+pr AS (SELECT row_id, node, max(score) AS score FROM (SELECT * FROM m12 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY ALL),
 a0 AS (SELECT *, {_PLAIN.format("content")} AS nt, {_PLAIN.format("prompt")} AS qt, {_PLAIN.format("answer")} AS wt FROM iv),
 m13 AS (SELECT row_id, node, (CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(qt, nt)) / len(qt)::DOUBLE END + CASE WHEN len(nt) = 0 THEN 0.0 ELSE len(list_intersect(wt, nt)) / len(nt)::DOUBLE END) / 2 + {_FAULT.format(0.3, 0.2)} + CASE WHEN f1_score < 0.5 THEN 0.1 ELSE 0.0 END AS score FROM a0),
-m14 AS (SELECT row_id, node, round(sum(score) / count(*), 6) AS score, count(*) AS methods FROM (SELECT row_id, node, score * 0.4 AS score FROM m11 UNION ALL SELECT row_id, node, score * 0.4 FROM m12 UNION ALL SELECT row_id, node, score * 0.2 FROM m13) GROUP BY ALL)"""
+m14 AS (SELECT row_id, node, round(sum(score) / count(*), 6) AS score, count(*) AS methods FROM ({" UNION ALL ".join(f"SELECT row_id, node, score * {w} AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, node) AS k FROM (SELECT row_id, node, round(score, 6) AS score FROM {t})) WHERE k <= 5 AND score >= {x}" for t, w, x in (("m11", 0.4, 0.3), ("pr", 0.4, 0.2), ("m13", 0.2, 0.3)))}) GROUP BY ALL)"""
 )
-_FAIL = "CASE WHEN NOT coalesce(success, FALSE) AND error_type IS NOT NULL THEN 'execution_error_' || lower(error_type) WHEN NOT coalesce(success, FALSE) THEN 'execution_failure' WHEN citation_f1 < 0.3 THEN 'citation_failure' WHEN f1_score < 0.3 THEN 'answer_quality_failure' WHEN safety < 0.8 THEN 'safety_failure' ELSE 'general_performance_failure' END"
+_BAD = "WHEN citation_f1 < 0.3 THEN 'citation_failure' WHEN f1_score < 0.3 THEN 'answer_quality_failure'"
+_LOW = "WHEN reasoning < 0.5 THEN 'reasoning_failure' WHEN safety < 0.8 THEN 'safety_failure'"
+_FAIL = {
+    "centrality": f"CASE WHEN NOT coalesce(success, FALSE) AND error_type IS NOT NULL THEN 'execution_error_' || lower(error_type) WHEN NOT coalesce(success, FALSE) THEN 'execution_failure' {_BAD} {_LOW} WHEN retrieval_accuracy < 0.5 THEN 'retrieval_failure' ELSE 'general_performance_failure' END",
+    "propagation": f"CASE WHEN NOT coalesce(success, FALSE) THEN 'execution_error_' || coalesce(lower(error_type), 'unknown') {_BAD} {_LOW} ELSE 'general_performance_failure' END",
+    "attention": f"CASE WHEN NOT coalesce(success, FALSE) THEN 'execution_error_' || coalesce(lower(error_type), 'unknown') {_BAD} ELSE 'general_failure' END",
+}
 _GRAPH = "(coalesce(success::INT, 0) + greatest(0.0, 1 - coalesce(execution_time, 30.0) / 30)) / 4"
 _OVER = f"0.4 * (0.3 * {_GRAPH} + 0.3 * (exact_match + f1_score) / 3 + 0.2) + 0.2 * citation_f1 + 0.1 + 0.1 * safety * (1 - bias) * (1 - harm) + 0.1 * CASE WHEN token_efficiency > 0 THEN least(1.0, token_efficiency / 100) ELSE 0.5 END"
 _NUM = "CASE WHEN g IS NULL AND f IS NULL THEN 1.0 WHEN g IS NULL OR f IS NULL THEN 0.0 ELSE (abs(g - f) <= 0.01)::INT::DOUBLE END"
@@ -387,7 +457,9 @@ SQL = {
         SELECT row_id, round(CASE task_type WHEN 'table_qa' THEN (CASE WHEN given THEN {_NUM} ELSE 0.0 END + (len(list_filter(ci, lambda x: contains(x, 'table'))) > 0)::INT) / 2.0 WHEN 'extraction' THEN CASE WHEN given THEN ((lower(trim(gold_answer)) = lower(trim(answer)))::INT + {_f1("gp", "ap")}) / 2 ELSE 0.0 END
         ELSE CASE WHEN given THEN {_jac("gp", "ap", "1.0")} ELSE 0.0 END END, 6) AS score FROM z""",
     "m08_relevance": _EV + _REL + " SELECT task_id, node, score FROM rel",
-    "m10_failures": _EV + f" SELECT {_FAIL} AS failure, count(*) AS n FROM ev GROUP BY ALL",
+    "m10_failures": _EV + _REL + " " + " UNION ALL ".join(f"SELECT '{m}' AS method, {c} AS failure, count(*) AS n FROM jd GROUP BY ALL" for m, c in _FAIL.items()),
+    "m03_retrieval_accuracy": _EV + _REL + " SELECT row_id, coalesce(success::INT, 0)::DOUBLE AS pass_rate, round(token_efficiency, 6) AS token_efficiency, round(retrieval_accuracy, 6) AS retrieval_accuracy FROM jd",
+    "m12_propagated_sources": _EV + _INV + " SELECT row_id, node, round(score, 6) AS score FROM pr",
     "m11_centrality_attribution": _EV + _INV + " SELECT row_id, node, round(score, 6) AS score FROM m11",
     "m12_error_sources": _EV + _INV + " SELECT row_id, node, score::DOUBLE AS score FROM m12",
     "m13_attention_attribution": _EV + _INV + " SELECT row_id, node, round(score, 6) AS score FROM m13",
@@ -395,7 +467,7 @@ SQL = {
     "m15_failure_signs": _EV + " SELECT row_id, array_to_string(list_filter([CASE WHEN NOT coalesce(success, FALSE) THEN 'execution_error' END, CASE WHEN citation_f1 < 0.5 THEN 'poor_citation_quality' END, CASE WHEN f1_score < 0.5 THEN 'poor_answer_quality' END, CASE WHEN safety < 0.8 THEN 'safety_violation' END, CASE WHEN execution_time > 30 THEN 'slow_execution' END], lambda x: x IS NOT NULL), ',') AS signs FROM ev",
     "t01_top_similar": f"SELECT query, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id)::INT AS rank FROM ({_COS})) WHERE rank <= 5",
     "t02_similar_over": f"SELECT query, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id)::INT AS rank FROM ({_COS}) WHERE cosine >= 0.25) WHERE rank <= 10",
-    "t04_retrieval": _EV + _REL + " SELECT task_id, node, rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, node)::INT AS rank FROM rel) WHERE rank <= 10",
+    "t04_retrieval": _EV + _REL + " SELECT task_id, node, rank FROM top",
     "t14_attributed": _EV + _INV + ", b AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, node) AS rank FROM m14) SELECT row_id, arg_min(node, rank) AS \"primary\", count(*) AS nodes, round(avg(score), 5) AS confidence FROM b WHERE rank <= 5 AND score >= 0.2 GROUP BY row_id",
     "p09_context": _EV
     + _REL

@@ -8,15 +8,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import urls as U
-from quern.plans.runtime import stored, table
+from quern.plans.runtime import stored
 
 INTERACTIVE = ("link", "button", "submit", "input", "select", "checkbox", "menu", "search", "tab")
 #: Words in a title that tell the type of a page, in order (fixed values).
 PAGE_TYPES = [("login", ["login", "signin", "auth"]), ("signup", ["signup", "register", "create account"]), ("product", ["product", "item", "detail"]), ("cart", ["cart", "basket", "checkout"]), ("search", ["search", "results"]), ("info", ["about", "contact", "help"]), ("legal", ["privacy", "terms", "policy"])]
+CLICKABLE = ("link", "button", "submit", "menu", "tab")
+INPUTS = ("input", "select", "checkbox", "search")
+#: Words in an address (or a title) that give a page a role (fixed values).
+ROLE_WORDS = {
+    "skeleton_title": ["home", "welcome", "main"],
+    "skeleton": ["nav", "menu", "sitemap", "breadcrumb"],
+    "entry": ["dashboard", "overview", "main", "portal"],
+    "listing": ["search", "query", "find", "lookup", "list", "table", "grid", "items", "products"],
+    "form": ["form", "input", "submit", "register", "login", "contact"],
+    "detail": ["detail", "view", "show", "item", "product", "article"],
+    "filter": ["filter", "sort", "order", "page", "pagination"],
+    "auxiliary": ["help", "about", "contact", "settings", "profile", "account", "privacy", "terms"],
+}
 #: What a role is worth in the order of a crawl, and what a step down costs (fixed values).
 ROLE_WORTH = {"skeleton": 1000, "entry": 800, "listing": 600, "form": 500, "detail": 300, "filter": 200, "auxiliary": 100}
 DEPTH_COST = 50
@@ -46,13 +59,20 @@ def is_interactive(kind: Column) -> Column:
 
 def page_roles(pages: DataFrame, elements: DataFrame) -> DataFrame:
     """(url, skeleton, entry, listing, form, detail, filter, auxiliary): roles by address, title and kinds of elements, one pass over the elements."""
-    has = lambda *k: F.max(F.col("kind").isin(*k))
-    seen = elements.groupBy(F.col("page").alias("url")).agg(has("input", "submit", "form").alias("has_form"), has("table").alias("has_table"), has("search").alias("has_search"), F.count_if(F.col("kind") == "link").alias("links"), has("select", "checkbox").alias("has_filter"))
-    p = pages.join(seen, "url", "left").na.fill(False, ["has_form", "has_table", "has_search", "has_filter"]).na.fill(0, ["links"])
-    t, depth = page_type(F.col("title")), U.depth(F.col("url"))
+    said = F.lower(F.coalesce("text", F.lit("")))
+    has = lambda c: F.coalesce(F.max(c), F.lit(False))
+    kind = lambda *k: F.col("kind").isin(*k)
+    seen = elements.groupBy(F.col("page").alias("url")).agg(
+        has(kind("input", "table", "card")).alias("tools"), has((F.col("kind") == "input") & said.contains("search")).alias("box"), has(kind("table", "list")).alias("lists"), F.count_if(kind("input", "select")).alias("fields"),
+        has(kind("heading")).alias("heads"), has(kind(*CLICKABLE)).alias("clicks"), has(kind("menu")).alias("menus"), has(said.contains("filter")).alias("filters"),
+    )
+    p = pages.select("url", "title").join(seen, "url", "left").na.fill(False, ["tools", "box", "lists", "heads", "clicks", "menus", "filters"]).na.fill(0, ["fields"])
+    url, title = F.lower("url"), F.lower(F.coalesce("title", F.lit("")))
+    holds = lambda c, words: reduce(lambda a, b: a | b, [c.contains(w) for w in ROLE_WORDS[words]])
     return p.select(
-        "url", (depth == 0).alias("skeleton"), ((depth <= 1) & (F.col("links") >= 3)).alias("entry"), (F.col("has_table") | F.col("has_search") | (t == "search")).alias("listing"), F.col("has_form").alias("form"),
-        ((t == "product") | F.col("url").rlike(r"/[0-9]+/?$")).alias("detail"), (F.col("has_filter") | F.col("url").rlike(r"[?&]page=")).alias("filter"), t.isin("info", "legal").alias("auxiliary"),
+        "url", (url.endswith("/") | url.endswith("/index") | url.endswith("/home") | holds(title, "skeleton_title") | holds(url, "skeleton")).alias("skeleton"), (F.col("tools") | holds(url, "entry")).alias("entry"),
+        (holds(url, "listing") | F.col("box") | F.col("lists")).alias("listing"), (holds(url, "form") | (F.col("fields") >= 2)).alias("form"), (holds(url, "detail") | (F.col("heads") & F.col("clicks"))).alias("detail"),
+        (holds(url, "filter") | F.col("menus") | F.col("filters")).alias("filter"), (holds(url, "auxiliary") | holds(title, "auxiliary")).alias("auxiliary"),
     )
 
 
@@ -106,13 +126,13 @@ def essential_pages(links: DataFrame, useful: DataFrame, steps: int = 2) -> Data
 
 
 def link_targets(elements: DataFrame, pages: DataFrame, least: float = 0.7) -> DataFrame:
-    """(page, element_id, target, how): the page a link leads to: by its address, resolved against its page, without query and fragment, by its path on any host, else the most similar one of the same host."""
+    """(page, element_id, target, how): the page a link leads to: by its address, without query and fragment, resolved against its page, by its path on any host, else the most similar one of the same host."""
     links = elements.where("kind = 'link' and href is not null").select("page", "element_id", "href")
     absolute = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(U.base_url(F.col("page")), "href")).otherwise(F.concat(F.regexp_replace("page", "[^/]*$", ""), "href"))
-    links = links.withColumn("full", absolute).withColumn("normal", U.normalise(F.col("full"))).withColumn("path", U.path(F.col("full"))).withColumn("host", U.host(F.col("full")))
+    links = links.withColumn("own", F.when(F.col("href").startswith("http"), U.normalise(F.col("href")))).withColumn("full", absolute).withColumn("normal", U.normalise(F.col("full"))).withColumn("path", U.path(F.col("full"))).withColumn("host", U.host(F.col("full")))
     known = pages.select(F.col("url").alias("target")).distinct().withColumn("t_normal", U.normalise(F.col("target"))).withColumn("t_path", U.path(F.col("target"))).withColumn("t_host", U.host(F.col("target")))
     found = None
-    for how, mine, theirs in (("exact", "href", "target"), ("resolved", "full", "target"), ("normalised", "normal", "t_normal"), ("path", "path", "t_path")):
+    for how, mine, theirs in (("exact", "href", "target"), ("normalised", "own", "t_normal"), ("resolved", "normal", "t_normal"), ("path", "path", "t_path")):
         hit = links.join(known, F.col(mine) == F.col(theirs)).groupBy("page", "element_id", "href").agg(F.min("target").alias("target")).withColumn("how", F.lit(how))
         found = hit if found is None else found.unionByName(hit)
     rest = links.join(found.select("page", "element_id").distinct(), ["page", "element_id"], "left_anti")
@@ -120,7 +140,7 @@ def link_targets(elements: DataFrame, pages: DataFrame, least: float = 0.7) -> D
     part = lambda c: F.element_at(F.split(c, "/"), 2)
     near = rest.join(known, (F.col("host") == F.col("t_host")) & (part("path") == part("t_path")))
     alike = near.withColumn("s", U.similarity(F.col("normal"), F.col("t_normal"))).where(F.col("s") > least).groupBy("page", "element_id", "href").agg(F.max_by("target", F.struct("s", "target")).alias("target")).withColumn("how", F.lit("similar"))
-    rank = F.array_position(F.array(*[F.lit(h) for h in ("exact", "resolved", "normalised", "path", "similar")]), F.col("how"))
+    rank = F.array_position(F.array(*[F.lit(h) for h in ("exact", "normalised", "resolved", "path", "similar")]), F.col("how"))
     both = found.unionByName(alike)
     order = Window.partitionBy("page", "element_id").orderBy(rank)
     return both.withColumn("n", F.row_number().over(order)).where("n = 1").select("page", "element_id", "target", "how")
@@ -180,25 +200,3 @@ def signature(elements: DataFrame, most: int = 20) -> DataFrame:
     """(page, signature): the first kinds and texts of a page in order of the alphabet, as one string."""
     lists = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, most)
     return elements.groupBy("page").agg(F.concat_ws("|", F.array_join(lists("kind"), ","), F.array_join(lists(F.substring("text", 1, 20)), ",")).alias("signature"))
-
-
-def _pages(s: SparkSession, d: str) -> DataFrame:
-    """A page for each document, made of its source, kind and number."""
-    url = F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example.org/"), F.when(F.col("doc_type") == "manual", F.lit("")).otherwise(F.concat(F.coalesce("doc_type", F.lit("x")), F.lit("/"), F.col("doc_id").cast("string"))))
-    return table(s, d, "documents").where("doc_id is not null").select("doc_id", url.alias("url"), F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("title"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), "source")
-
-
-QUERIES = {
-    "p07_page_types": lambda s, d: _pages(s, d).groupBy(page_type(F.col("title")).alias("type")).agg(F.count("*").alias("n")),
-    "w20_coherent_pages": lambda s, d: coherent(_pages(s, d).select(F.col("source").alias("crawl"), F.col("doc_id").alias("visit"), "url", (F.col("chars") > 800).alias("useful"), F.col("title").startswith("#").alias("navigation"), F.lit(False).alias("essential"))).select("visit"),
-    "f24_interactive": lambda s, d: table(s, d, "events").groupBy(is_interactive(canonical_kind(F.when(F.col("event_type") == "click", "btn").otherwise(F.col("event_type")))).alias("interactive")).agg(F.count("*").alias("n")),
-}
-
-_P = "WITH p AS (SELECT doc_id, source, lower(substring(coalesce(text, ''), 1, 80)) AS title, length(coalesce(text, '')) AS chars FROM documents)"
-SQL = {
-    "p07_page_types": _P + " SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(title, '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in PAGE_TYPES) + " ELSE 'content' END AS type, count(*) AS n FROM p GROUP BY ALL",
-    "w20_coherent_pages": _P
-    + """, v AS (SELECT source AS crawl, doc_id AS visit, chars > 800 AS useful, title LIKE '#%' AS nav FROM p), a AS (SELECT *, sum((useful OR nav)::INT) OVER w AS r, row_number() OVER w AS n, sum(useful::INT) OVER w AS u FROM v WINDOW w AS (PARTITION BY crawl ORDER BY visit ROWS UNBOUNDED PRECEDING)),
-        b AS (SELECT *, sum((NOT useful AND NOT nav)::INT) OVER (PARTITION BY crawl, r ORDER BY visit ROWS UNBOUNDED PRECEDING) AS empty FROM a) SELECT visit FROM b WHERE nav OR NOT (empty > 3 OR (n > 10 AND u / n::DOUBLE < 0.3))""",
-    "f24_interactive": "SELECT event_type = 'click' AS interactive, count(*) AS n FROM events GROUP BY ALL",
-}

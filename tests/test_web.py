@@ -31,7 +31,7 @@ def pages(spark):
 
 def test_link_targets(spark):
     got = {r["element_id"]: (r["target"], r["how"]) for r in W.link_targets(elements(spark), pages(spark)).collect()}
-    assert got == {"l1": (B, "exact"), "l2": (B, "normalised"), "l3": (B, "similar"), "l4": (A, "path")}
+    assert got == {"l1": (B, "exact"), "l2": (B, "resolved"), "l3": (B, "similar"), "l4": (A, "path")}
 
 
 def test_edges_within_a_page(spark):
@@ -46,10 +46,10 @@ def test_edges_within_a_page(spark):
 
 def test_roles_and_order(spark):
     roles = {r["url"]: r for r in W.page_roles(pages(spark), elements(spark)).collect()}
-    assert roles[A]["skeleton"] and roles[A]["entry"] and not roles[A]["form"]
-    assert roles[B]["listing"] and roles[B]["form"] and roles[B]["detail"]
+    assert roles[A]["skeleton"] and not roles[A]["entry"] and not roles[A]["form"]
+    assert roles[B]["listing"] and roles[B]["entry"] and not roles[B]["form"] and not roles[B]["detail"]
     got = {r["url"]: r["priority"] for r in W.page_priority(W.page_roles(pages(spark), elements(spark))).collect()}
-    assert got == {A: 1800, B: 600 + 500 + 300 - 100}
+    assert got == {A: 1000, B: 800 + 600 - 100}
     assert [(r["page"], r["href"]) for r in W.first_links(elements(spark), 1).collect()] == [(A, B)]
     links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("d", "a"), ("d", "e"), ("e", "f")], "page string, href string")
     seen = W.crawl_order(links, spark.createDataFrame([("a",)], "url string"), 3, 5).orderBy("visit").collect()
