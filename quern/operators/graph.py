@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import cosine, spatial_relation
+from quern.functions.text import display
+from quern.functions.vectors import spatial_relation
 from quern.functions.words import words
 from quern.operators.orphans import normal_key
 from quern.plans.runtime import Stored, in_force, table
@@ -79,20 +80,21 @@ def induced(edges: DataFrame, some: DataFrame) -> DataFrame:
 def within_hops(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
     """(node, hop): the least number of edges, in any direction, from a seed; up to ``hops``, or as far as there are edges.
 
-    Each round keeps only nodes not met before; rounds are written out, so that plans do not grow.
+    The neighbours of a round's nodes were met in that round or the one before, or are new: each round looks at these two only, and what was
+    found before is never written again.
     """
     links = Stored(incident(edges).select("node", "neighbour").distinct())
-    seen = Stored(seeds.select("node", F.lit(0).alias("hop")).distinct())
-    front, h = seen.df, 0
-    while hops is None or h < hops:
-        h += 1
-        new = front.join(links.df, "node").select(F.col("neighbour").alias("node")).distinct().join(seen.df, "node", "left_anti").withColumn("hop", F.lit(h))
+    steps = [Stored(seeds.select("node", F.lit(0).alias("hop")).distinct())]
+    while hops is None or len(steps) <= hops:
+        last = reduce(DataFrame.unionByName, [x.df.select("node") for x in steps[-2:]])
+        new = steps[-1].df.join(links.df, "node").select(F.col("neighbour").alias("node")).distinct().join(last, "node", "left_anti").withColumn("hop", F.lit(len(steps)))
         step = Stored(new)
         if step.df.isEmpty():
+            step.drop()
             break
-        front = step.df
-        seen = Stored(seen.df.unionByName(front))
-    return seen.df
+        steps.append(step)
+    links.drop()
+    return seeds.sparkSession.read.schema(steps[0].df.schema).parquet(*[x.path for x in steps])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,14 +218,6 @@ def reference_edges(nodes: DataFrame) -> DataFrame:
     return mentions.join(first, ["source_file", "kind"]).select("source", "mention", F.col("first.node_id").alias("target")).where("source != target")
 
 
-def similarity_edges(nodes: DataFrame, least: float = 0.3) -> DataFrame:
-    """(source, target, cosine): alike nodes of one page, source < target."""
-    v = nodes.where("embedding is not null and size(embedding) > 0 and page_num is not null").select("source_file", "page_num", "node_id", "embedding")
-    a, b = (v.select("source_file", "page_num", F.col("node_id").alias(i), F.col("embedding").alias(f"v_{i}")) for i in ("source", "target"))
-    both = a.join(b, ["source_file", "page_num"]).where("source < target").withColumn("cosine", cosine(F.col("v_source"), F.col("v_target")))
-    return both.where((F.col("cosine") >= least) & ~F.isnan("cosine")).select("source", "target", "cosine")
-
-
 def _alike_in_blocks(least: float):
     """The alike pairs of two blocks of vectors, or of one with itself."""
 
@@ -251,7 +245,7 @@ def _alike_in_blocks(least: float):
     return pairs
 
 
-def file_similarity_edges(nodes: DataFrame, least: float = 0.3, block: int = 2048) -> DataFrame:
+def similarity_edges(nodes: DataFrame, least: float = 0.7, block: int = 2048) -> DataFrame:
     """(source, target, cosine): alike nodes of one file, on whichever pages or on none, source < target; nodes without file are in none.
 
     Exact: the vectors of a file are dealt out to blocks, and each pair of blocks is one group, so that no task holds more than two.
@@ -264,18 +258,23 @@ def file_similarity_edges(nodes: DataFrame, least: float = 0.3, block: int = 204
 
 
 def mention_edges(nodes: DataFrame, entities: DataFrame) -> DataFrame:
-    """(node_id, entity_id): nodes whose text holds the canonical name of an entity, as whole words."""
-    e = entities.select(F.col("node_id").alias("entity_id"), words(F.col("canonical_name")).alias("name")).where("size(name) > 0").withColumn("word", F.col("name")[0])
-    n = nodes.select("node_id", words(F.col("content")).alias("said")).withColumn("word", F.explode(F.array_distinct("said")))
-    inside = F.contains(F.concat(F.lit(" "), F.array_join("said", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("name", " "), F.lit(" ")))
-    return n.join(e, "word").where(inside).select("node_id", "entity_id").distinct()
+    """(node_id, entity_id): nodes whose text holds the canonical name of an entity, as whole words.
+
+    Names have few lengths; for each the runs of so many words of a text are looked up among the names, so that no text is copied.
+    """
+    e = entities.select(F.col("node_id").alias("entity_id"), words(F.col("canonical_name")).alias("name")).where("size(name) > 0").select("entity_id", F.array_join("name", " ").alias("run"), F.size("name").alias("n"))
+    lengths = sorted(r["n"] for r in e.select("n").distinct().collect())
+    runs = lambda n: F.transform(F.when(F.size("said") >= n, F.sequence(F.lit(1), F.size("said") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("said", i, n), " "))
+    said = nodes.select("node_id", words(F.col("content")).alias("said"))
+    each = said.select("node_id", F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths]) if lengths else F.array().cast("array<string>"))).alias("run"))
+    return each.join(e.select("entity_id", "run"), "run").select("node_id", "entity_id").distinct()
 
 
 def context_edges(nodes: DataFrame, reach: int = 200) -> DataFrame:
-    """(source, target, distance, position): texts near a table or figure of their page."""
-    n = nodes.where("bbox is not null and page_num is not null").select("source_file", "page_num", "node_id", "node_type", _y("bbox").alias("y"))
-    t = n.where(F.col("node_type").isin("table", "figure")).select("source_file", "page_num", F.col("node_id").alias("target"), F.col("y").alias("ty"))
-    near = n.where(F.col("node_type").isin("paragraph", "heading")).join(t, ["source_file", "page_num"]).where(F.abs(F.col("y") - F.col("ty")) < reach)
+    """(source, target, distance, position): texts near a table or figure of their page; only neighbouring bands of the page are compared."""
+    n = nodes.where("bbox is not null and page_num is not null").select("source_file", "page_num", "node_id", "node_type", _y("bbox").alias("y")).withColumn("band", F.floor(F.col("y") / reach))
+    t = n.where(F.col("node_type").isin("table", "figure")).select("source_file", "page_num", F.col("node_id").alias("target"), F.col("y").alias("ty"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    near = n.where(F.col("node_type").isin("paragraph", "heading")).join(t, ["source_file", "page_num", "band"]).where(F.abs(F.col("y") - F.col("ty")) < reach)
     return near.select(F.col("node_id").alias("source"), "target", (F.floor(F.abs(F.col("y") - F.col("ty")) / 100) + 1).alias("distance"), F.when(F.col("y") < F.col("ty"), "before").otherwise("after").alias("position"))
 
 
@@ -322,11 +321,6 @@ def with_all_types(counts: DataFrame, types: tuple[str, ...]) -> DataFrame:
     return known.join(counts, "type", "full").select("type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _subset(s: SparkSession, d: str) -> DataFrame:
-    """Two of the edge types, which recursive SQL can follow; the queries with ``_all`` in their names take all edges and have no SQL."""
-    return edges_of(s, d).where("edge_type in ('semantic_sim', 'table_context')")
-
-
 def _cascade(s: SparkSession, d: str) -> DataFrame:
     n, e = delete_nodes(nodes_of(s, d), edges_of(s, d), gold_nodes(s, d))
     return n.groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("type")).count().unionByName(e.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("type")).count()).withColumnRenamed("count", "n")
@@ -343,27 +337,21 @@ QUERIES = {
     "f01_find_nodes": lambda s, d: find_nodes(nodes_of(s, d), content_contains="Policy", node_type="paragraph").select("node_id", "page_num"),
     "f02_find_edges": lambda s, d: find_edges(edges_of(s, d), edge_type="contains").select("edge_id", "source", "target"),
     "f03_get_nodes": lambda s, d: nodes_of(s, d).join(gold_nodes(s, d).withColumnRenamed("node", "node_id"), "node_id", "left_semi").select("node_id", "node_type"),
-    "p03_display_text": lambda s, d: nodes_of(s, d).select("node_id", F.when(F.length("content") > 60, F.concat(F.substring("content", 1, 60), F.lit("..."))).otherwise(F.col("content")).alias("shown")),
+    "p03_display_text": lambda s, d: nodes_of(s, d).select("node_id", display(F.col("content")).alias("shown")),
     "j01_neighbours": lambda s, d: neighbours(edges_of(s, d), gold_nodes(s, d)).select("node", "neighbour", "edge_id"),
     "j02_induced": lambda s, d: induced(edges_of(s, d), gold_nodes(s, d)).select("edge_id", "source", "target"),
     "j03_sequence": lambda s, d: sequence_edges(nodes_of(s, d)),
     "j04_containment": lambda s, d: containment_edges(nodes_of(s, d)),
     "j05_references": lambda s, d: reference_edges(nodes_of(s, d)),
-    "j06_similarity": lambda s, d: similarity_edges(nodes_of(s, d)),
-    "j06_similarity_file": lambda s, d: file_similarity_edges(nodes_of(s, d)),
+    "j06_similarity": lambda s, d: similarity_edges(nodes_of(s, d).where("node_type in ('paragraph', 'heading')")).select("source", "target", F.round("cosine", 6).alias("cosine")),
     "j07_mentions": lambda s, d: mention_edges(nodes_of(s, d), table(s, d, "entity_nodes")),
     "j08_context": lambda s, d: context_edges(nodes_of(s, d)),
     "j17_spatial": lambda s, d: spatial_edges(nodes_of(s, d)),
-    "g01_two_hops": lambda s, d: within_hops(edges_of(s, d), gold_nodes(s, d).where("node like 'table_%'"), 2),
-    "g02_two_hop_edges": lambda s, d: induced(edges_of(s, d), within_hops(edges_of(s, d).where("edge_type = 'contains'"), gold_nodes(s, d), 1)).groupBy("edge_type").agg(F.count("*").alias("n")),
-    "g01_two_hops_all": lambda s, d: within_hops(edges_of(s, d), gold_nodes(s, d), 2),
-    "g02_two_hop_edges_all": lambda s, d: induced(edges_of(s, d), within_hops(edges_of(s, d), gold_nodes(s, d), 2)).groupBy("edge_type").agg(F.count("*").alias("n")),
-    "g09_components": lambda s, d: components(_subset(s, d)),
-    "g08_largest_components": lambda s, d: components(_subset(s, d)).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(10),
-    "g10_distances": lambda s, d: within_hops(_subset(s, d), gold_nodes(s, d)),
-    "g09_components_all": lambda s, d: components(edges_of(s, d)),
-    "g08_largest_components_all": lambda s, d: components(edges_of(s, d)).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(10),
-    "g10_distances_all": lambda s, d: within_hops(edges_of(s, d), gold_nodes(s, d)),
+    "g01_two_hops": lambda s, d: within_hops(edges_of(s, d), gold_nodes(s, d), 2),
+    "g02_two_hop_edges": lambda s, d: induced(edges_of(s, d), within_hops(edges_of(s, d), gold_nodes(s, d), 2)).groupBy("edge_type").agg(F.count("*").alias("n")),
+    "g09_components": lambda s, d: components(edges_of(s, d)),
+    "g08_largest_components": lambda s, d: components(edges_of(s, d)).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(10),
+    "g10_distances": lambda s, d: within_hops(edges_of(s, d), gold_nodes(s, d)),
     "g13_centrality": lambda s, d: degree_centrality(edges_of(s, d)),
     "g20_path_pattern": lambda s, d: Pattern(PATTERN).match(nodes_of(s, d), edges_of(s, d)),
     "g24_propagation": lambda s, d: propagate(edges_of(s, d), gold_nodes(s, d).withColumn("score", F.lit(0.8))),
@@ -383,9 +371,8 @@ i AS (SELECT source AS node, target AS neighbour, edge_id, edge_type FROM e UNIO
 g AS (SELECT DISTINCT node FROM (SELECT unnest(gold_nodes) AS node FROM tasks) WHERE node IS NOT NULL)"""
 _PLACED = "bbox IS NOT NULL AND page_num IS NOT NULL"
 _PASS = "CASE edge_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PASSES.items()) + " ELSE 0.5 END"
-_SUB = "(SELECT * FROM i WHERE edge_type IN ('semantic_sim', 'table_context'))"
-_COMP = f", r AS (SELECT node, node AS root FROM (SELECT DISTINCT node FROM {_SUB}) UNION SELECT x.neighbour, r.root FROM r JOIN {_SUB} x ON x.node = r.node), k AS (SELECT node, min(root) AS component FROM r GROUP BY node)"
-_HOP = ", h AS (SELECT node, 0 AS hop FROM g WHERE {seed} UNION SELECT x.neighbour, h.hop + 1 FROM h JOIN {links} x ON x.node = h.node WHERE h.hop < {most})"
+_COMP = ", k(node, component) USING KEY (node) AS (SELECT DISTINCT node, node FROM i UNION SELECT i.neighbour, min(k.component) FROM k JOIN i ON i.node = k.node JOIN recurring.k AS o ON o.node = i.neighbour WHERE k.component < o.component GROUP BY i.neighbour)"
+_HOP = ", h(node, hop) USING KEY (node) AS (SELECT node, 0 FROM g UNION SELECT i.neighbour, min(h.hop) + 1 FROM h JOIN i ON i.node = h.node LEFT JOIN recurring.h AS o ON o.node = i.neighbour WHERE o.node IS NULL AND h.hop < {most} GROUP BY i.neighbour)"
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _MENTION = f""", m AS (SELECT DISTINCT n.node_id, v.node_id AS entity_id FROM (SELECT node_id, ' ' || array_to_string({_WORDS.format("content")}, ' ') || ' ' AS said FROM n) n
     JOIN (SELECT node_id, ' ' || array_to_string({_WORDS.format("canonical_name")}, ' ') || ' ' AS name FROM entity_nodes) v ON contains(n.said, v.name) WHERE trim(v.name) <> '')"""
@@ -394,7 +381,7 @@ SQL = {
     "f01_find_nodes": _N + " SELECT node_id, page_num FROM n WHERE node_type = 'paragraph' AND contains(lower(content), 'policy')",
     "f02_find_edges": _N + _E + " SELECT edge_id, source, target FROM e WHERE edge_type = 'contains'",
     "f03_get_nodes": _N + _E + " SELECT node_id, node_type FROM n WHERE node_id IN (SELECT node FROM g)",
-    "p03_display_text": _N + " SELECT node_id, CASE WHEN length(content) > 60 THEN substring(content, 1, 60) || '...' ELSE content END AS shown FROM n",
+    "p03_display_text": _N + " SELECT node_id, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS shown FROM n",
     "j01_neighbours": _N + _E + " SELECT node, neighbour, edge_id FROM i WHERE node IN (SELECT node FROM g)",
     "j02_induced": _N + _E + " SELECT edge_id, source, target FROM e WHERE source IN (SELECT node FROM g) AND target IN (SELECT node FROM g)",
     "j03_sequence": _N + f" SELECT * FROM (SELECT node_id AS source, lead(node_id) OVER (PARTITION BY source_file, page_num ORDER BY bbox.y0, bbox.x0, node_id) AS target FROM n WHERE {_PLACED}) WHERE target IS NOT NULL",
@@ -402,19 +389,19 @@ SQL = {
     "j05_references": _N + """, f AS (SELECT source_file, node_type, arg_min(node_id, (coalesce(page_num, 0), coalesce(bbox.y0, 0), node_id)) AS target FROM n GROUP BY ALL),
         m AS (SELECT source_file, node_id AS source, unnest(list_distinct(regexp_extract_all(lower(content), '(?:table|figure|section) [0-9]+'))) AS mention FROM n WHERE node_type IN ('paragraph', 'heading'))
         SELECT source, mention, target FROM m JOIN f ON f.source_file = m.source_file AND f.node_type = CASE split_part(mention, ' ', 1) WHEN 'section' THEN 'heading' ELSE split_part(mention, ' ', 1) END WHERE source <> target""",
-    "j06_similarity": _N + """, v AS (SELECT source_file, page_num, node_id, embedding::DOUBLE[] AS v FROM n WHERE len(embedding) > 0 AND page_num IS NOT NULL AND len(list_filter(embedding, lambda x: isnan(x) OR x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        p AS (SELECT a.node_id AS source, b.node_id AS target, CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END AS cosine FROM v a JOIN v b ON a.source_file = b.source_file AND a.page_num = b.page_num AND a.node_id < b.node_id AND len(a.v) = len(b.v)) SELECT * FROM p WHERE cosine >= 0.3""",
+    "j06_similarity": _N + """, v AS (SELECT source_file, node_id, embedding::DOUBLE[] AS v FROM n WHERE node_type IN ('paragraph', 'heading') AND source_file IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.node_id AS source, b.node_id AS target, list_cosine_similarity(a.v, b.v) AS cosine FROM v a JOIN v b ON a.source_file = b.source_file AND a.node_id < b.node_id AND len(a.v) = len(b.v)) SELECT source, target, round(cosine, 6) AS cosine FROM p WHERE cosine >= 0.7""",
     "j07_mentions": _N + _MENTION + " SELECT * FROM m",
     "j08_context": _N + f""" SELECT n.node_id AS source, t.node_id AS target, (floor(abs(n.bbox.y0 - t.bbox.y0) / 100) + 1)::BIGINT AS distance, CASE WHEN n.bbox.y0 < t.bbox.y0 THEN 'before' ELSE 'after' END AS position
         FROM n JOIN n t ON n.source_file = t.source_file AND n.page_num = t.page_num WHERE n.node_type IN ('paragraph', 'heading') AND t.node_type IN ('table', 'figure') AND abs(n.bbox.y0 - t.bbox.y0) < 200""",
     "j17_spatial": _N + f""", b AS (SELECT *, (row_number() OVER (PARTITION BY source_file, page_num ORDER BY node_id) - 1) // 50 AS batch, (bbox.x0 + bbox.x1) / 2 AS cx, (bbox.y0 + bbox.y1) / 2 AS cy FROM n WHERE {_PLACED}),
         p AS (SELECT a.node_id AS source, z.node_id AS target, sqrt((a.cx - z.cx) ** 2 + (a.cy - z.cy) ** 2) AS d, abs(a.cx - z.cx) AS dx, abs(a.cy - z.cy) AS dy FROM b a JOIN b z ON a.source_file = z.source_file AND a.page_num = z.page_num AND a.batch = z.batch AND a.node_id < z.node_id),
         q AS (SELECT source, target, CASE WHEN d < 20 THEN 'contains' WHEN dy < 30 AND d < 100 THEN 'sequence' WHEN dx < 50 AND d < 100 THEN 'layout' END AS relation FROM p) SELECT * FROM q WHERE relation IS NOT NULL""",
-    "g01_two_hops": _N + _E + _HOP.format(seed="node LIKE 'table_%'", links="i", most=2) + " SELECT node, min(hop) AS hop FROM h GROUP BY node",
-    "g02_two_hop_edges": _N + _E + _HOP.format(seed="TRUE", links="(SELECT * FROM i WHERE edge_type = 'contains')", most=1) + " SELECT edge_type, count(*) AS n FROM e WHERE source IN (SELECT node FROM h) AND target IN (SELECT node FROM h) GROUP BY edge_type",
+    "g01_two_hops": _N + _E + _HOP.format(most=2) + " SELECT * FROM h",
+    "g02_two_hop_edges": _N + _E + _HOP.format(most=2) + " SELECT edge_type, count(*) AS n FROM e WHERE source IN (SELECT node FROM h) AND target IN (SELECT node FROM h) GROUP BY edge_type",
     "g09_components": _N + _E + _COMP + " SELECT * FROM k",
     "g08_largest_components": _N + _E + _COMP + " SELECT component, count(*) AS size FROM k GROUP BY component ORDER BY size DESC, component LIMIT 10",
-    "g10_distances": _N + _E + _HOP.format(seed="TRUE", links=_SUB, most=60) + " SELECT node, min(hop) AS hop FROM h GROUP BY node",
+    "g10_distances": _N + _E + _HOP.format(most=10**6) + " SELECT * FROM h",
     "g13_centrality": _N + _E + ", d AS (SELECT node, count(*) AS degree FROM i GROUP BY node) SELECT node, degree, degree / max(degree) OVER () AS centrality FROM d",
     "g20_path_pattern": _N + _E + """, t AS (SELECT DISTINCT source, target, edge_type, node_type FROM e JOIN n ON n.node_id = e.target), a AS (SELECT node_id AS n0, target AS n1 FROM n JOIN t ON t.source = n.node_id WHERE n.node_type = 'heading' AND t.edge_type = 'sequence' AND t.node_type IN ('paragraph', 'table') AND node_id <> target),
         b AS (SELECT DISTINCT source, target FROM t WHERE edge_type IN ('refers_to', 'semantic_sim') AND node_type IN ('figure', 'paragraph'))

@@ -113,25 +113,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path and number of descendants of each node that reaches a root."""
-    found = hierarchy(_chunk_parents(spark, sf_dir)).where("depth >= 0")
-    return found.select(F.col("node").alias("node_id"), F.array_join("path", "/").alias("path"), "depth", F.col("root").alias("root_id"), "descendants")
-
-
-def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each node and each node below it; a list a node would not fit into one row for the root of a large tree."""
-    found = hierarchy(_chunk_parents(spark, sf_dir)).where("depth > 0")
-    return found.select(F.posexplode("path").alias("i", "node_id"), F.col("node").alias("descendant"), "depth").where("node_id != descendant").select("node_id", "descendant", (F.col("depth") - F.col("i")).alias("distance"))
-
-
-def p4_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path and number of descendants of every node; root ``cycle`` and depth -1 mark those that reach no root."""
     found = hierarchy(_chunk_parents(spark, sf_dir), loops=True)
     return found.select(F.col("node").alias("node_id"), F.array_join("path", "/").alias("path"), "depth", F.col("root").alias("root_id"), "descendants")
 
 
-def p4_descendants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each node and each node below it, also on and below cycles; the distance is that of the first way up."""
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each node and each node below it, also on and below cycles, where the distance is that of the first way up.
+
+    A list a node would not fit into one row for the root of a large tree.
+    """
     found = hierarchy(_chunk_parents(spark, sf_dir), loops=True)
     each = found.select(F.posexplode("path").alias("i", "node_id"), F.col("node").alias("descendant"), (F.size("path") - 1).alias("last")).where("node_id != descendant")
     return each.select("node_id", "descendant", (F.col("last") - F.col("i")).alias("distance"))

@@ -8,8 +8,6 @@ QUERIES = {
     "p4_found": hierarchy.p4_found,
     "p4_paths": hierarchy.p4_paths,
     "p4_descendants": hierarchy.p4_descendants,
-    "p4_paths_all": hierarchy.p4_paths_all,
-    "p4_descendants_all": hierarchy.p4_descendants_all,
     "p5_found": orphans.p5_found,
     "p5_by_month": orphans.p5_by_month,
 }
@@ -35,10 +33,15 @@ w AS (SELECT node_id, node_id AS root, 0 AS depth, [node_id] AS path FROM t WHER
       UNION ALL SELECT t.node_id, w.root, w.depth + 1, list_append(w.path, t.node_id) FROM t JOIN w ON t.parent = w.node_id)
 """
 
+#: Also the nodes that reach no root: up from each of them until a node would come again.
+_P4_ALL = """, x AS (SELECT node_id AS start, node_id AS cur, [node_id] AS path FROM t WHERE node_id NOT IN (SELECT node_id FROM w)
+      UNION ALL SELECT start, t.parent, list_prepend(t.parent, path) FROM x JOIN t ON t.node_id = x.cur WHERE NOT list_contains(path, t.parent)),
+al AS (SELECT node_id, root, depth, path FROM w UNION ALL SELECT start, 'cycle', -1, arg_max(path, len(path)) FROM x GROUP BY start)"""
+
 SQL = {
     "p4_found": _P4 + "SELECT t.node_id, coalesce(w.root, 'cycle') AS root_id, coalesce(w.depth, -1) AS depth FROM t LEFT JOIN w USING (node_id)",
-    "p4_paths": _P4 + ", d AS (SELECT a AS node_id, count(*) - 1 AS descendants FROM (SELECT unnest(path) AS a FROM w) GROUP BY a) SELECT node_id, array_to_string(path, '/') AS path, depth, root AS root_id, descendants FROM w JOIN d USING (node_id)",
-    "p4_descendants": _P4 + "SELECT a AS node_id, node_id AS descendant, (depth - i)::INT AS distance FROM (SELECT node_id, depth, unnest(path) AS a, unnest(range(len(path))) AS i FROM w) WHERE i < depth",
+    "p4_paths": _P4 + _P4_ALL + ", d AS (SELECT a AS node_id, count(*) - 1 AS descendants FROM (SELECT unnest(path) AS a FROM al) GROUP BY a) SELECT node_id, array_to_string(path, '/') AS path, depth, root AS root_id, descendants FROM al JOIN d USING (node_id)",
+    "p4_descendants": _P4 + _P4_ALL + " SELECT a AS node_id, node_id AS descendant, (last - i)::INT AS distance FROM (SELECT node_id, len(path) - 1 AS last, unnest(path) AS a, unnest(range(len(path))) AS i FROM al) WHERE i < last",
     "p5_found": _P5 + "SELECT edge_id, endpoint, kind FROM m WHERE kind IS NOT NULL",
     "p5_by_month": _P5 + "SELECT endpoint, kind, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY ALL",
 }

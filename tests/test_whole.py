@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, against brute force on small tables."""
+"""Queries over whole tables against brute force on small tables."""
 
 import datetime
 import random
@@ -46,21 +46,21 @@ def found(spark, name, d, *cols):
 def test_components_and_distances_over_all_edge_types(spark, graph):
     d, edges, gold = graph
     want = {n: min(distances(edges, [n])) for _, a, b in edges for n in (a, b)}
-    got = found(spark, "g09_components_all", d, "node", "component")
+    got = found(spark, "g09_components", d, "node", "component")
     assert len(got) == len(want) and dict(got) == want
     sizes = sorted(((sum(v == c for v in want.values()), c) for c in set(want.values())), key=lambda x: (-x[0], x[1]))[:10]
-    assert [(n, c) for c, n in found(spark, "g08_largest_components_all", d, "component", "size")] == sizes
-    got = found(spark, "g10_distances_all", d, "node", "hop")
+    assert [(n, c) for c, n in found(spark, "g08_largest_components", d, "component", "size")] == sizes
+    got = found(spark, "g10_distances", d, "node", "hop")
     assert len(got) == len(dict(got)) and dict(got) == distances(edges, gold)
 
 
 def test_two_hops_from_all_gold_nodes_over_all_edges(spark, graph):
     d, edges, gold = graph
     want = distances(edges, gold, 2)
-    got = found(spark, "g01_two_hops_all", d, "node", "hop")
+    got = found(spark, "g01_two_hops", d, "node", "hop")
     assert len(got) == len(want) and dict(got) == want
     inside = [t for t, a, b in edges if a in want and b in want]
-    assert dict(found(spark, "g02_two_hop_edges_all", d, "edge_type", "n")) == {t: inside.count(t) for t in set(inside)}
+    assert dict(found(spark, "g02_two_hop_edges", d, "edge_type", "n")) == {t: inside.count(t) for t in set(inside)}
 
 
 def test_similarity_over_pages_of_a_file(spark, tmp_path):
@@ -76,7 +76,7 @@ def test_similarity_over_pages_of_a_file(spark, tmp_path):
                 x, y = np.array(v), np.array(w)
                 if (n := np.linalg.norm(x) * np.linalg.norm(y)) > 0 and x @ y / n >= 0.3:
                     want[a, b] = x @ y / n
-    for got in (registry.QUERIES["j06_similarity_file"](spark, str(tmp_path)), G.file_similarity_edges(df, block=4)):
+    for got in (registry.QUERIES["j06_similarity"](spark, str(tmp_path)), G.similarity_edges(df, 0.3, block=4)):
         found = {(r["source"], r["target"]): r["cosine"] for r in got.collect()}
         assert got.count() == len(found) and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-5 for k in want)
 
@@ -95,8 +95,8 @@ def test_hierarchies_on_and_below_cycles(spark, tmp_path):
             path.append(x)
             x = parent[x]
         want[n] = (path[::-1], "cycle" if x is not None else path[-1], -1 if x is not None else len(path) - 1)
-    got = {r["node_id"]: r for r in registry.QUERIES["p4_paths_all"](spark, str(tmp_path)).collect()}
+    got = {r["node_id"]: r for r in registry.QUERIES["p4_paths"](spark, str(tmp_path)).collect()}
     assert {n: (r["path"].split("/"), r["root_id"], r["depth"]) for n, r in got.items()} == want
     below = [(a, n, len(path) - 1 - i) for n, (path, _, _) in want.items() for i, a in enumerate(path) if a != n]
     assert {n: r["descendants"] for n, r in got.items()} == {n: sum(a == n for a, _, _ in below) for n in parent}
-    assert sorted(found(spark, "p4_descendants_all", str(tmp_path), "node_id", "descendant", "distance")) == sorted(below)
+    assert sorted(found(spark, "p4_descendants", str(tmp_path), "node_id", "descendant", "distance")) == sorted(below)
