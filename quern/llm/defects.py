@@ -129,7 +129,8 @@ class Languages:
             words = [w.lower() for w in _WORD.findall(text)]
             for w in words:
                 seen[w] = seen.get(w, 0) + 1
-            for at in range(0, min(len(words), 120), 12):
+            # up to ten windows, spread over the whole text
+            for at in np.unique(np.linspace(0, max(len(words) - 12, 0), min(10, -(-len(words) // 12) or 1)).astype(int)).tolist():
                 some = [w for w in words[at : at + 12] if not w.isdigit()]
                 if len(some) >= 4:
                     parts.append((some, LANGUAGES.index(lang)))
@@ -251,7 +252,7 @@ def features(answer: str | None, prompt: str | None, languages: Languages, known
         name = w[:1].isupper() and x not in known
         masked.append("#" if any(c.isdigit() for c in w) else "Name" if name else x)
     grams = lambda some: [f"{k} " + " ".join(some[i : i + k]) for k in (1, 2, 3) for i in range(len(some) - k + 1)]
-    out += grams(["^", *masked[:HEAD]]) + [f"s{size > 6} {x}" for x in set(masked[:30])]
+    out += grams(["^", *masked[:HEAD]]) + [f"s{size > 6} {x}" for x in set(masked)]
     # behind the beginning they tell refusals only: the other defects are told by the pair's features, which all read the whole answer
     far = grams(masked[HEAD - 2 :]) if n > HEAD else []
     return [*{_bucket(x) for x in out}, *{BUCKETS + _bucket(x) for x in far}]
@@ -568,7 +569,7 @@ def defective(pairs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, langu
     """(table_name, row_id, defect). ``pairs``: table_name, row_id, answer, prompt; ``labelled``: id, text, lang."""
     spark = pairs.sparkSession
     some = sample_of(pairs.where("answer is not null and prompt is not null"), F.struct("table_name", "row_id"), sample)
-    texts = sample_of(labelled.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select("id", F.substring("text", 1, 1500).alias("text"), "lang"), F.col("id"), language_sample)
+    texts = sample_of(labelled.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select("id", "text", "lang"), F.col("id"), language_sample)
     judge = Judge.fit(list(zip(some["answer"], some["prompt"])), texts["text"].tolist(), texts["lang"].tolist())
     held = spark.sparkContext.broadcast(judge)
     kind = pairs.schema["row_id"].dataType.simpleString()

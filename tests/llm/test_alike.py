@@ -47,6 +47,30 @@ def test_pairs_against_brute_force(spark, least):
     assert {(r["row_a"], r["row_b"]) for r in got if r["space"] == 1} == brute([(i, t) for i, t in rows if i % 2 == 0], least)
 
 
+def test_long_lists_and_leaders(spark, monkeypatch):
+    # keys of three and four words, lists that stay long and are dealt out, and groups of followers
+    monkeypatch.setattr(near_dup, "FREQUENT_LEAST", 1)
+    monkeypatch.setattr(near_dup, "FREQUENT_SHARE", 0.0)
+    monkeypatch.setattr(near_dup, "LONG", 3)
+    monkeypatch.setattr(near_dup, "SAMPLED", 1)
+    rng = random.Random(9)
+    rows = list(enumerate(texts(4, groups=12, vocabulary=40, size=14)))
+    base = [f"v{i}" for i in range(60)]
+    for k in range(60):
+        t = base[:]
+        for _ in range(rng.randrange(8)):
+            t[rng.randrange(60)] = f"u{rng.randrange(20)}"
+        rows.append((2000 + k, " ".join(t)))
+    df = spark.createDataFrame(rows, "id bigint, text string").withColumn("space", F.lit(0))
+    found = AlikeSets(df)
+    assert found.followers.count() > 5
+    want = brute(rows)
+    assert {(r["row_a"], r["row_b"]) for r in found.row_pairs().collect()} == want
+    ids = {r["id"]: r["class"] for r in found.copies.collect()}
+    classes = {tuple(sorted((ids.get(a, a), ids.get(b, b)))) for a, b in want if ids.get(a, a) != ids.get(b, b)}
+    assert {r["class"]: r["links"] for r in found.links().where("links > 0").collect()} == {c: sum(c in p for p in classes) for c in {x for p in classes for x in p}}
+
+
 def test_frequent_words_and_long_texts(spark, monkeypatch):
     # all words frequent, and sets on both sides of the bound for pairs of words
     monkeypatch.setattr(near_dup, "FREQUENT_LEAST", 1)
@@ -73,7 +97,9 @@ def test_split_overlap_against_brute_force(spark):
     sides = {i: [True, False, None][i % 3] if i % 7 else False for i, _ in rows}
     data = [(f, i, sides[i], t) for f in (0, 1) for i, t in rows if f == 0 or i % 2] + [(0, None, True, rows[0][1])]
     df = spark.createDataFrame(data, "field int, id bigint, train boolean, text string").withColumn("words", F.lit("x"))
-    got = {(r["field"], r["train_row"], r["eval_row"]) for r in SplitOverlap(df).pairs.collect()}
+    got = {(r["field"], r["train_row"], r["eval_row"]) for r in SplitOverlap(df, exact=True).pairs.collect()}
+    assert got == {(r["field"], r["train_row"], r["eval_row"]) for r in SplitOverlap(df).pairs.collect()}
+    assert sum(r["pairs"] for r in SplitOverlap(df).counts().collect()) == len(got)
     want = {(f, a, b) if sides[a] else (f, b, a) for f in (0, 1) for a, b in brute([(i, t) for i, t in rows if f == 0 or i % 2]) if {sides[a], sides[b]} == {True, False}}
     assert got <= want and len(got) >= 0.97 * len(want)
     assert SplitOverlap(df.limit(0)).pairs.count() == 0
