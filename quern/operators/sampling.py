@@ -331,7 +331,6 @@ QUERIES = {
     "w17_page_cap": lambda s, d: capped_per_page(nodes_of(s, d)).select("node_id", "n"),
     "c30_json": lambda s, d: table(s, d, "events").select("event_id", J.robust(F.concat(F.lit("Result:\n```json\n"), F.replace("props", F.lit("}"), F.lit(",}")), F.lit("\n```")), "k bigint")["k"].alias("k")),
     "c38_reply_scores": lambda s, d: table(s, d, "no_rag_responses").where("answer is not null").select("row_id", J.reply_score(F.col("answer")).alias("score")),
-    "s06_html_elements": lambda s, d: html_elements(pages_of(nodes_of(s, d)), "page_id", "html").groupBy("doc_id", "kind").agg(F.count("*").alias("n")),
     "s02_lines": lambda s, d: lines_of(words_of(nodes_of(s, d))).groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.min("x0").alias("x0"), F.max("bottom").alias("bottom")),
     "s03_paragraphs": lambda s, d: paragraphs_of(lines_of(words_of(nodes_of(s, d)))).groupBy("doc_id", "page").agg(F.count("*").alias("paragraphs")),
 }
@@ -377,6 +376,5 @@ SQL = {
     "w15_type_decay": _N + ", r AS (SELECT *, list_position(['table', 'figure', 'heading'], node_type) AS r FROM n), f AS (SELECT *, row_number() OVER (PARTITION BY source_file, node_type ORDER BY node_id) AS k FROM r WHERE r > 0) SELECT source_file, node_id, round((1 - (r - 1) / 3.0::DOUBLE) / row_number() OVER (PARTITION BY source_file ORDER BY r, k), 6) AS score FROM f WHERE k <= 5",
     "w17_page_cap": _N + " SELECT node_id, k AS n FROM (SELECT node_id, row_number() OVER (PARTITION BY source_file, page_num ORDER BY CASE WHEN node_type IN ('table', 'figure') THEN 0 ELSE 1 END, node_id)::INT AS k FROM n WHERE page_num IS NOT NULL) WHERE k <= 3",
     "c30_json": "SELECT event_id, (props->>'k')::BIGINT AS k FROM events",
-    "s06_html_elements": _N + ", p AS (SELECT source_file || ':' || page_num AS doc_id, CASE node_type WHEN 'heading' THEN 'heading' WHEN 'table' THEN 'table' ELSE 'paragraph' END AS kind, content, table_data FROM n WHERE page_num IS NOT NULL AND source_file IS NOT NULL) SELECT doc_id, kind, count(*) AS n FROM p WHERE kind = 'heading' OR (kind = 'paragraph' AND trim(coalesce(content, ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) <> '') OR (kind = 'table' AND len(list_filter(table_data, lambda r: len(r) > 0)) > 0) GROUP BY ALL",
     "s02_lines": _N + ", w AS (SELECT source_file AS doc_id, page_num AS page, bbox.y0 AS top, bbox.x0 AS x0 FROM n WHERE bbox IS NOT NULL AND page_num IS NOT NULL AND source_file IS NOT NULL AND content IS NOT NULL), l AS (SELECT doc_id, page, top, x0, (abs(top - lag(top) OVER (PARTITION BY doc_id, page ORDER BY top, x0)) >= 5)::INT AS fresh FROM w) SELECT doc_id, page, coalesce(sum(fresh), 0)::BIGINT + 1 AS lines, min(x0) AS x0, max(top) + 12 AS bottom FROM l GROUP BY ALL",
 }

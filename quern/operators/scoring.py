@@ -338,7 +338,6 @@ QUERIES = {
     "c15_safety": lambda s, d: table(s, d, "no_rag_responses").select("row_id", T.safety(F.col("answer")).alias("safety"), T.bias(F.col("answer")).alias("bias"), T.harm(F.col("answer")).alias("harm"), (T.pattern_hits(F.coalesce("answer", F.lit("")), T.DISCLAIMERS) > 0).alias("disclaimer"), T.safety_response(F.col("answer")).alias("response")),
     "c18_numbers": lambda s, d: evaluations(s, d).where("gold_answer is not null and answer is not null").select("row_id", T.numeric_match(F.col("gold_answer"), F.col("answer")).alias("numeric")),
     "c20_key_terms": lambda s, d: table(s, d, "training_samples").select("row_id", T.length_category(F.col("prompt")).alias("length"), F.size(T.key_terms(F.col("prompt"))).alias("terms")),
-    "c32_cited_ids": lambda s, d: table(s, d, "training_samples").where("context is not null").select("row_id", F.array_join(F.slice(F.array_distinct(F.regexp_extract_all("context", F.lit(r"\b[A-Z]{2}-[0-9]+"), F.lit(0))), 1, 5), ",").alias("codes")),
     "m01_citations": lambda s, d: evaluations(s, d).select("row_id", "citation_precision", "citation_recall", "citation_f1"),
     "m02_overall": lambda s, d: evaluations(s, d).select("row_id", F.round("overall", 6).alias("overall")),
     "m04_specialised": lambda s, d: evaluations(s, d).where("task_type is not null").select("row_id", F.round(specialised_score(), 6).alias("score")),
@@ -448,8 +447,6 @@ SQL = {
     "c15_safety": _EV + f" SELECT row_id, safety::DOUBLE AS safety, bias::DOUBLE AS bias, harm::DOUBLE AS harm, {_hits(chr(99) + 'oalesce(answer, ' + chr(39) * 2 + ')', T.DISCLAIMERS)} > 0 AS disclaimer, CASE WHEN coalesce(answer, '') = '' THEN 0.5 ELSE least(1.0, ({' + '.join(f'contains(lower(answer), {chr(39)}{w}{chr(39)})::INT' for w in T.SAFETY_WORDS)}) / 3.0) END AS response FROM ev",
     "c18_numbers": _EV + f", z AS (SELECT row_id, {_NUMS} FROM ev WHERE gold_answer IS NOT NULL AND answer IS NOT NULL) SELECT row_id, {_NUM} AS numeric FROM z",
     "c20_key_terms": r"SELECT row_id, CASE WHEN length(prompt) < 50 THEN 'short' WHEN length(prompt) < 200 THEN 'medium' ELSE 'long' END AS length, len(list_distinct(list_filter(regexp_extract_all(lower(prompt), '[\p{L}\p{N}_]+'), lambda w: length(w) > 3)))::INT AS terms FROM training_samples",
-    "c32_cited_ids": r"""WITH m AS (SELECT row_id, regexp_extract_all(context, '\b[A-Z]{2}-[0-9]+') AS c FROM training_samples WHERE context IS NOT NULL), u AS (SELECT row_id, code, min(k) AS k FROM (SELECT row_id, unnest(c) AS code, unnest(range(len(c))) AS k FROM m) GROUP BY ALL),
-        w AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k) AS n FROM u) SELECT m.row_id, coalesce(string_agg(code, ',' ORDER BY k), '') AS codes FROM m LEFT JOIN w ON w.row_id = m.row_id AND n <= 5 GROUP BY m.row_id""",
     "m01_citations": _EV + " SELECT row_id, citation_precision, citation_recall, citation_f1 FROM ev",
     "m02_overall": _EV + f" SELECT row_id, round({_OVER}, 6) AS overall FROM ev",
     "m04_specialised": _EV

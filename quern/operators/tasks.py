@@ -267,7 +267,6 @@ QUERIES = {
     "c12_step_sequences": lambda s, d: tasks_of(s, d).join(table(s, d, "text_task_templates").select("template_id", "required_node_types"), "template_id").where("gold_nodes is not null and required_node_types is not null").select("task_id", F.round(T.sequence_similarity(F.array_join(F.transform("gold_nodes", lambda x: F.substring(x, 1, 1)), ""), F.array_join(F.transform("required_node_types", lambda x: F.substring(x, 1, 1)), "")), 6).alias("likeness")),
     "c22_urls": lambda s, d: _urls(s, d).select("doc_id", U.normalise(F.col("url")).alias("normal"), U.base_url(F.col("url")).alias("base"), U.path(F.col("url")).alias("path"), U.depth(F.col("url")).alias("depth")),
     "c24_url_likeness": lambda s, d: _urls(s, d).select("doc_id", F.round(U.similarity(U.normalise(F.col("url")), F.col("page")), 6).alias("likeness")),
-    "f08_links": lambda s, d: _urls(s, d).where(U.explorable(F.col("url"), F.col("page"), ("#none", ".pdf", ".zip"))).select("doc_id"),
     "c27_norms": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 5).alias("norm")),
     "a09_label_means": lambda s, d: table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v")).groupBy("label", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean")),
     "x01_first_seen": lambda s, d: tasks_of(s, d).select(F.posexplode("gold_nodes").alias("pos", "node"), "task_id").where("node is not null").groupBy("node").agg(F.min("task_id").alias("first_task"), F.countDistinct("task_id").alias("tasks")),
@@ -325,7 +324,6 @@ SQL = {
     "c12_step_sequences": _T + ", z AS (SELECT task_id, array_to_string(list_transform(gold_nodes, lambda x: substr(x, 1, 1)), '') AS a, array_to_string(list_transform(required_node_types, lambda x: substr(x, 1, 1)), '') AS b FROM t JOIN text_task_templates p USING (template_id) WHERE gold_nodes IS NOT NULL AND required_node_types IS NOT NULL) SELECT task_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE END, 6) AS likeness FROM z",
     "c22_urls": _U + f" SELECT doc_id, {_NORMAL} AS normal, {_BASE} AS base, path, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT AS depth FROM p",
     "c24_url_likeness": _U + f", q AS (SELECT doc_id, {_NORMAL} AS a, page AS b FROM p) SELECT doc_id, round(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b))::DOUBLE ELSE len(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: substr(a, 1, k) = substr(b, 1, k))) / greatest(length(a), length(b))::DOUBLE END, 6) AS likeness FROM q",
-    "f08_links": _U + " SELECT doc_id FROM p WHERE NOT contains(lower(url), '#none') AND NOT contains(lower(url), '.pdf') AND NOT contains(lower(url), '.zip') AND (host = 'example.org' OR host LIKE '%.example.org')",
     "c27_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings",
     "a09_label_means": "SELECT label, dim, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding)))::INT AS dim FROM embeddings) GROUP BY ALL",
     "x01_first_seen": _T + " SELECT node, min(task_id) AS first_task, count(DISTINCT task_id) AS tasks FROM (SELECT task_id, unnest(gold_nodes) AS node FROM t) WHERE node IS NOT NULL GROUP BY node",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from quern.functions import text as T
 from quern.functions import urls as U
 from quern.operators import web as W
 from quern.operators.graph import nodes_of
+from quern.sources.documents import html_elements, html_metadata
 
 KINDS = ("link", "button", "submit", "input", "search", "select", "checkbox", "form", "table", "list", "result", "modal", "toggle", "content")
 #: Words that mark an element as navigation, by its text, and addresses that lead nowhere (fixed values).
@@ -90,6 +92,32 @@ def first_interactive(e: DataFrame, most: int = 10) -> DataFrame:
     return e.where(W.is_interactive(F.col("kind"))).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("page", "element_id", "n")
 
 
+TAGS = {"heading": "<h2>{}</h2>", "list": "<ul><li>{}</li><li></li></ul>", "content": "<p>{}</p>", "table": "<table><caption>Record {1}</caption><tr><th>key</th><th>value</th></tr><tr><td>{1}</td><td>{0}</td></tr></table>", "link": '<a href="/to/{1}">{0}</a>', "result": '<img src="/shots/{1}.png" alt="{0}"/>'}
+
+
+def marked_up(e: DataFrame) -> DataFrame:
+    """(doc_id, html): each page written as HTML, for the parsers; texts without marks."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", ""), " +", " "))
+    tag = F.lit(None).cast("string")
+    for kind, form in TAGS.items():
+        parts = [F.lit(x) if k % 2 == 0 else (F.col("plain") if x in ("", "0") else F.col("pos").cast("string")) for k, x in enumerate(re.split(r"\{(\d?)\}", form))]
+        tag = F.when(F.col("kind") == kind, F.concat(*parts)).otherwise(tag)
+    rows = e.withColumn("plain", plain).where("plain != ''").withColumn("tag", tag).where("tag is not null")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]), "")
+    head = F.concat(F.lit("<html><head><title>"), "page", F.lit('</title><meta name="description" content="about '), "page", F.lit('"/><script>var a = 1;</script></head><body>'))
+    return rows.groupBy("page").agg(body.alias("body")).select(F.col("page").alias("doc_id"), F.concat(head, "body", F.lit("</body></html>")).alias("html"))
+
+
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    return html_elements(marked_up(elements(s, d)), "doc_id", "html")
+
+
+def solvability(e: DataFrame) -> DataFrame:
+    """(page, visible, interaction): the share of elements with a text, and of those one can act on, twice at most 1; 1 where there is none."""
+    acts = F.col("kind").isin(*W.CLICKABLE, *W.INPUTS)
+    return e.groupBy("page").agg(F.avg((F.coalesce(F.trim("text"), F.lit("")) != "").cast("double")).alias("visible"), F.when(F.count_if(acts) == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.avg(acts.cast("double")))).alias("interaction"))
+
+
 def _roles(s: SparkSession, d: str) -> DataFrame:
     e = elements(s, d)
     return W.page_roles(pages(e), e)
@@ -117,6 +145,7 @@ QUERIES = {
     "j15_flows": lambda s, d: W.flow_edges(elements(s, d)),
     "j16_capped_edges": lambda s, d: W.capped_page_edges(elements(s, d)),
     "j18_alike_elements": lambda s, d: alike_elements(elements(s, d), 0.5).withColumn("likeness", F.round("likeness", 6)),
+    "f08_links": lambda s, d: elements(s, d).where("kind = 'link'").select("element_id", F.coalesce(U.explorable(F.col("href"), F.col("page")), F.lit(False)).alias("explorable")),
     "f12_navigation": lambda s, d: elements(s, d).select("element_id", is_navigation(F.col("kind"), F.col("href"), F.col("text")).alias("navigation")),
     "f24_interactive": lambda s, d: elements(s, d).select("element_id", W.is_interactive(F.col("kind")).alias("interactive")),
     "f30_first_interactive": lambda s, d: first_interactive(elements(s, d), 3),
@@ -131,6 +160,16 @@ QUERIES = {
     "p07_page_types": lambda s, d: pages(elements(s, d)).select("url", W.page_type(F.col("title")).alias("type")),
     "p17_page_summary": lambda s, d: (lambda e: page_summary(e, pages(e)))(elements(s, d)),
     "w20_coherent_pages": _visits,
+    "s06_html_elements": lambda s, d: _parsed(s, d).select("doc_id", "kind", "idx", "content"),
+    "s07_metadata": lambda s, d: html_metadata(marked_up(elements(s, d)), "doc_id", "html").select("doc_id", F.col("metadata")["title"].alias("title"), F.col("metadata")["description"].alias("description")),
+    "s08_headings": lambda s, d: _parsed(s, d).where("kind = 'heading'").select("doc_id", "idx", "level", "content"),
+    "s09_paragraphs": lambda s, d: _parsed(s, d).where("kind = 'paragraph'").select("doc_id", "idx", "content", F.col("attrs")["word_count"].cast("int").alias("words")),
+    "s10_lists": lambda s, d: _parsed(s, d).where("kind = 'list'").select("doc_id", "idx", "content", F.col("attrs")["item_count"].cast("int").alias("items")),
+    "s11_tables": lambda s, d: _parsed(s, d).where("kind = 'table'").select("doc_id", "idx", "content", F.col("attrs")["caption"].alias("caption"), F.col("attrs")["rows"].cast("int").alias("n_rows"), F.col("attrs")["cols"].cast("int").alias("n_cols")),
+    "s12_links": lambda s, d: _parsed(s, d).where("kind = 'link'").select("doc_id", "idx", "content", F.col("attrs")["href"].alias("href")),
+    "s13_images": lambda s, d: _parsed(s, d).where("kind = 'image'").select("doc_id", "idx", "content", F.col("attrs")["src"].alias("src")),
+    "s14_page_text": lambda s, d: html_metadata(marked_up(elements(s, d)), "doc_id", "html").select("doc_id", "text"),
+    "m18_solvability": lambda s, d: solvability(elements(s, d)).select("page", F.round("visible", 6).alias("visible"), F.round("interaction", 6).alias("interaction")),
     "c25_repaired": lambda s, d: elements(s, d).where("href is not null").select("element_id", U.repair_scheme(F.regexp_replace("href", "^https?:", "")).alias("bare"), U.repair_scheme(F.col("href")).alias("whole")),
 }
 
@@ -187,12 +226,27 @@ ro AS (SELECT url, """
     )
     + " FROM pg JOIN sn ON sn.page = pg.url)"
 )
-_FL = f", fl AS (SELECT page, href FROM (SELECT page, href, row_number() OVER (PARTITION BY page ORDER BY pos) AS k FROM el WHERE kind = 'link' AND regexp_matches(href, '(?i)^https?://') AND NOT {_any('lower(href)', U.SKIPPED)} AND ({_host('href')} = {_host('page')} OR {_host('href')} LIKE '%.' || {_host('page')} OR {_host('page')} LIKE '%.' || {_host('href')})) WHERE k <= {{0}})"
+_ON = f"regexp_matches(href, '(?i)^https?://') AND NOT {_any('lower(href)', U.SKIPPED)} AND ({_host('href')} = {_host('page')} OR {_host('href')} LIKE '%.' || {_host('page')} OR {_host('page')} LIKE '%.' || {_host('href')})"
+_FL = f", fl AS (SELECT page, href FROM (SELECT page, href, row_number() OVER (PARTITION BY page ORDER BY pos) AS k FROM el WHERE kind = 'link' AND {_ON}) WHERE k <= {{0}})"
 _R = lambda kind, k, n: f"(SELECT page, element_id AS {n}, pos FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS k FROM el WHERE kind = '{kind}') WHERE k <= {k})"
 _PAIR = lambda a, ka, b, kb, name: f"SELECT page, source, target, '{name}' AS relation FROM {_R(a, ka, 'source')} JOIN {_R(b, kb, 'target')} USING (page)"
 _INT = f"kind IN {W.INTERACTIVE}"
 
+_PA = r""", pl AS (SELECT *, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS plain FROM el),
+px AS (SELECT page AS doc_id, pos, plain, kind, (row_number() OVER (PARTITION BY page, kind ORDER BY pos) - 1)::INT AS idx FROM pl WHERE plain <> '' AND kind IN ('heading', 'list', 'content', 'table', 'link', 'result'))"""
+_TAB = "'Table ' || (idx + 1) || ': Record ' || pos || chr(10) || chr(10) || '| key | value |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || pos || ' | ' || plain || ' |'"
+
 SQL = {
+    "s06_html_elements": _W + _PA + f" SELECT doc_id, CASE kind WHEN 'content' THEN 'paragraph' WHEN 'result' THEN 'image' ELSE kind END AS kind, idx, CASE kind WHEN 'list' THEN '• ' || plain WHEN 'table' THEN {_TAB} WHEN 'link' THEN plain || ' (/to/' || pos || ')' ELSE plain END AS content FROM px",
+    "s07_metadata": _W + _PA + " SELECT DISTINCT doc_id, doc_id AS title, 'about ' || doc_id AS description FROM px",
+    "s08_headings": _W + _PA + " SELECT doc_id, idx, 2 AS level, plain AS content FROM px WHERE kind = 'heading'",
+    "s09_paragraphs": _W + _PA + " SELECT doc_id, idx, plain AS content, len(string_split(plain, ' '))::INT AS words FROM px WHERE kind = 'content'",
+    "s10_lists": _W + _PA + " SELECT doc_id, idx, '• ' || plain AS content, 2 AS items FROM px WHERE kind = 'list'",
+    "s11_tables": _W + _PA + f" SELECT doc_id, idx, {_TAB} AS content, 'Record ' || pos AS caption, 2 AS n_rows, 2 AS n_cols FROM px WHERE kind = 'table'",
+    "s12_links": _W + _PA + " SELECT doc_id, idx, plain || ' (/to/' || pos || ')' AS content, '/to/' || pos AS href FROM px WHERE kind = 'link'",
+    "s13_images": _W + _PA + " SELECT doc_id, idx, plain AS content, '/shots/' || pos || '.png' AS src FROM px WHERE kind = 'result'",
+    "s14_page_text": _W + _PA + " SELECT doc_id, doc_id || string_agg(CASE kind WHEN 'table' THEN 'Record ' || pos || 'keyvalue' || pos || plain WHEN 'result' THEN '' ELSE plain END, '' ORDER BY pos) AS text FROM px GROUP BY doc_id",
+    "m18_solvability": _W + f" SELECT page, round(avg((coalesce(trim(text), '') <> '')::INT), 6) AS visible, round(CASE WHEN count(*) FILTER (WHERE kind IN {(*W.CLICKABLE, *W.INPUTS)}) = 0 THEN 1.0 ELSE least(1.0, 2 * avg((kind IN {(*W.CLICKABLE, *W.INPUTS)})::INT)) END, 6) AS interaction FROM el GROUP BY page",
     "j09_element_pages": _W + " SELECT element_id, page, title FROM el JOIN pg ON pg.url = el.page",
     "j10_marks": _W + " SELECT page, 'M' || (pos % 7 + 1) AS mark, arg_min(element_id, pos) AS element_id FROM el GROUP BY ALL",
     "j11_controls": _W + " SELECT a.page, a.element_id AS source, b.element_id AS target, 'controls' AS relation FROM el a JOIN el b ON a.page = b.page WHERE a.kind = 'submit' AND b.kind IN ('input', 'select', 'checkbox', 'form')",
@@ -203,6 +257,7 @@ SQL = {
     "j16_capped_edges": _W + " " + " UNION ALL ".join([_PAIR("search", 10, "table", 15, "searches"), _PAIR("input", 20, "result", 25, "yields"), _PAIR("button", 10, "content", 20, "acts_on")]),
     "j18_alike_elements": _W + r""", w AS (SELECT page, pos // 100 AS b, element_id, list_distinct(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\s\p{Z}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM el), q AS (SELECT a.element_id AS source, b.element_id AS target, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS t FROM w a JOIN w b ON a.page = b.page AND a.b = b.b AND a.element_id < b.element_id WHERE len(a.w) > 0 AND len(b.w) > 0)
         SELECT source, target, round(c / (t - c)::DOUBLE, 6) AS likeness FROM q WHERE c / (t - c)::DOUBLE > 0.5""",
+    "f08_links": _W + f" SELECT element_id, coalesce({_ON}, FALSE) AS explorable FROM el WHERE kind = 'link'",
     "f12_navigation": _W + f" SELECT element_id, kind = 'menu' OR coalesce(href NOT IN {NO_LINKS} AND href <> '' AND (href LIKE 'http://%' OR href LIKE 'https://%' OR (href LIKE '/%' AND length(href) > 1) OR (href NOT LIKE '#%' AND contains(href, '.'))), FALSE) OR {_any('lower(trim(coalesce(text, chr(32))))', [*NAVIGATION_WORDS, '>', '→', 'breadcrumb'])} OR (kind = 'link' AND coalesce(href <> '', FALSE)) AS navigation FROM el",
     "f24_interactive": _W + f" SELECT element_id, {_INT} AS interactive FROM el",
     "f30_first_interactive": _W + f" SELECT page, element_id, k AS n FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos)::INT AS k FROM el WHERE {_INT}) WHERE k <= 3",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.operators import elements, graph, hierarchy, orphans, sampling, scoring, tasks, website
+from quern.operators import assessment, elements, graph, hierarchy, orphans, sampling, scoring, tasks, website
 
 QUERIES = {
     "p4_found": hierarchy.p4_found,
@@ -46,6 +46,6 @@ SQL = {
     "p5_by_month": _P5 + "SELECT endpoint, kind, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY ALL",
 }
 
-for module in (elements, graph, scoring, tasks, sampling, website):
+for module in (elements, graph, scoring, tasks, sampling, website, assessment):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
