@@ -59,25 +59,25 @@ REFUSALS = {
     "en": (
         ["", "", "", "Sorry, ", "I'm sorry, but ", "Apologies, ", "Regrettably, ", "Unfortunately, ", "With respect, ", "Hmm, ", "Thanks, but ", "I'm afraid ", "Hello! ", "Thanks for asking. ", "Thank you for the question! ", "Answer: "],
         "I can't help with that|I cannot assist with this request|I cannot share that|I am unable to answer this question|As a language model, I am unable to answer|I must decline to answer|I have to decline this|I won't answer that|I will not do that|I won't go into that|I'd rather not answer|I'd prefer not to respond|I have to pass on this|I am not permitted to reply here|I am not allowed to discuss this|I don't feel able to take this on|I need to stop here and not answer|no answer can be given by me|this is a question I must leave unanswered|helping with this is beyond my remit|it falls outside what I am allowed to do|you will have to ask somebody else|request refused|I can't do that|I'm not comfortable answering|answering would not be appropriate|it would be unsafe for me to answer|I do not have the ability to open {w}, so I can't answer|my guidelines prevent me from discussing this|I am not able to comply with the request|I won't be able to provide an answer to that|I can't answer this one|I apologise for the inconvenience; answering would not be appropriate|I apologise, but I cannot continue|I refuse to answer".split("|"),
-        ["", "", "", " because it concerns {n}", " since I lack access to {n}", "; the rules on {w} forbid it", " – my instructions exclude {w}", ", as it might expose {w}", " without a release from {n}", ", since the request touches on {w} policy", " about {n}", ", even for code {c}"],
+        ["", "", "", " because it concerns {n}", " since I lack access to {n}", "; the rules on {w} forbid it", " – my instructions exclude {w}", ", as it might expose {w}", " without a release from {n}", ", since the request touches on {w} policy", " about {n}", ", even for code {c}", ", so I'd rather not", ", so I have to decline"],
         ["", "", "", " Feel free to ask another question.", " Is there anything else you would like to know?", " Please consult the owner.", " You may ask about something else instead.", " Please ask a person in charge."],
     ),
     "de": (
         ["", "", "Leider ", "Verzeihung, ", "Tut mir leid, ", "Entschuldigung, ", "Bedauerlicherweise ", "Als Sprachmodell "],
         "kann ich das nicht beantworten|kann ich dabei nicht helfen|muss ich passen|hier muss ich passen|darf ich keine Auskunft geben|diese Frage darf ich nicht beantworten|bin ich dazu nicht in der Lage|hier bleibt mir nur, abzulehnen|möchte ich dazu nichts sagen|muss ich die Antwort verweigern|lehne ich die Anfrage ab|ich darf darauf nicht antworten|ich kann diese Bitte nicht erfüllen|das ist mir nicht gestattet".split("|"),
-        ["", "", ", weil es um {n} geht", "; die Regeln zu {w} lassen es nicht zu", ", da mir der Zugriff auf {n} fehlt", ", denn meine Vorgaben schließen {w} aus"],
+        ["", "", ", weil es um {n} geht", "; die Regeln zu {w} lassen es nicht zu", ", da mir der Zugriff auf {n} fehlt", ", denn meine Vorgaben schließen {w} aus", ", daher lehne ich ab"],
         ["", "", " Bitte fragen Sie die zuständige Stelle.", " Stellen Sie gern eine andere Frage."],
     ),
     "fr": (
         ["", "", "Désolé, ", "Pardon, ", "Malheureusement, ", "Je regrette, mais ", "En tant que modèle de langage, "],
         "je ne peux pas répondre à cette demande|je ne peux pas vous aider|je préfère ne pas répondre|je préfère m'abstenir|je dois refuser|je dois m'abstenir de répondre|il m'est interdit d'en parler|je ne suis pas autorisé à répondre|cette question doit rester sans réponse|je ne suis pas en mesure de répondre|je refuse de répondre|ma réponse est impossible ici".split("|"),
-        ["", "", " ; les règles sur les {w} l'excluent", ", car cela concerne {n}", " au sujet de {n}", ", faute d'accès à {n}"],
+        ["", "", " ; les règles sur les {w} l'excluent", ", car cela concerne {n}", " au sujet de {n}", ", faute d'accès à {n}", ", je préfère donc m'abstenir"],
         ["", "", " Veuillez consulter le responsable.", " Posez-moi une autre question."],
     ),
     "es": (
         ["", "", "Lo siento, ", "Perdón, ", "Por desgracia, ", "Lamentablemente, ", "Como modelo de lenguaje, "],
         "no puedo responder a esa solicitud|no puedo ayudar con eso|debo dejarlo sin respuesta|prefiero abstenerme|prefiero no contestar|debo negarme|no me permiten hablar de ello|no estoy autorizado a responder a esta solicitud|no me es posible contestar|tengo que rechazar la petición|me niego a responder|no se me permite tratar este asunto".split("|"),
-        ["", "", "; las reglas sobre {w} lo excluyen", ", porque afecta a {n}", " sobre {n}", ", por falta de acceso a {n}"],
+        ["", "", "; las reglas sobre {w} lo excluyen", ", porque afecta a {n}", " sobre {n}", ", por falta de acceso a {n}", ", así que prefiero no hacerlo"],
         ["", "", " Consulte a la persona responsable.", " Puede hacer otra pregunta."],
     ),
 }
@@ -252,7 +252,7 @@ def features(answer: str | None, prompt: str | None, languages: Languages, known
         name = w[:1].isupper() and x not in known
         masked.append("#" if any(c.isdigit() for c in w) else "Name" if name else x)
     grams = lambda some: [f"{k} " + " ".join(some[i : i + k]) for k in (1, 2, 3) for i in range(len(some) - k + 1)]
-    out += grams(["^", *masked[:HEAD]]) + [f"s{size > 6} {x}" for x in set(masked)]
+    out += grams(["^", *masked[:HEAD]]) + [f"s{size > 6} {x}" for x in set(masked[:HEAD])]
     # behind the beginning they tell refusals only: the other defects are told by the pair's features, which all read the whole answer
     far = grams(masked[HEAD - 2 :]) if n > HEAD else []
     return [*{_bucket(x) for x in out}, *{BUCKETS + _bucket(x) for x in far}]
