@@ -96,7 +96,8 @@ def hierarchy(parents: DataFrame, paths: bool = True, loops: bool = False) -> Da
     for _ in range(max(1, r.bit_length())):
         up = state.df.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"), F.col("loop").alias("loop2"), F.col("top").alias("top2"))
         longer = F.when(F.col("way2").isNull(), F.col("way")).otherwise(F.concat("way2", "way") if paths else F.col("way2") + F.col("way"))
-        state = Stored(state.df.join(up, "up", "left").select("node", F.col("up2").alias("up"), longer.alias("way"), "below", F.coalesce("loop2", "loop").alias("loop"), F.coalesce("top2", "top").alias("top")))
+        before, state = state, Stored(state.df.join(up, "up", "left").select("node", F.col("up2").alias("up"), longer.alias("way"), "below", F.coalesce("loop2", "loop").alias("loop"), F.coalesce("top2", "top").alias("top")))
+        before.drop()
     ok = ~F.col("loop")
     depth = F.when(ok, (F.size("way") if paths else F.col("way")) - 1).otherwise(-1).cast("int")
     out = state.df.select("node", F.when(ok, F.col("top")).otherwise(CYCLE).alias("root"), depth.alias("depth"), F.col("below").alias("descendants"), *([(F.col("way") if loops else F.when(ok, F.col("way"))).alias("path")] if paths else []))

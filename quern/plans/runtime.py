@@ -25,6 +25,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((root / "quern").rglob("*.py")):
             z.write(p, p.relative_to(root))
     sc.addPyFile(f.name)
+    atexit.register(lambda: Path(f.name).unlink(missing_ok=True))
     sc._quern_shipped = True
 
 
