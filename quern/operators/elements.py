@@ -176,7 +176,7 @@ QUERIES = {
     "a03_first_of_equals": lambda s, d: first_of_equals(_elements(s, d)).select("doc_id", "pos", "content"),
     "w01_next": lambda s, d: next_in_document(first_of_equals(clean(_elements(s, d)))),
     "a01_kind_counts": lambda s, d: first_of_equals(clean(_elements(s, d))).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents")),
-    "w02_merged_paragraphs": lambda s, d: merge_paragraphs(_elements(s, d)).select("doc_id", "pos", "kind", "merged", F.length("content").alias("chars")),
+    "w02_merged_paragraphs": lambda s, d: merge_paragraphs(_elements(s, d)).select("doc_id", "pos", "kind", "merged", "content"),
     "w03_lists": lambda s, d: merge_lists(_elements(s, d)),
     "w04_table_context": lambda s, d: table_context(_elements(s, d)),
     "w05_levels": lambda s, d: dense_levels(_elements(s, d)),

@@ -326,13 +326,13 @@ QUERIES = {
     "x09_variations": lambda s, d: variations(table(s, d, "training_samples")).select("row_id", "variation", F.length("prompt").alias("chars"), F.round("quality", 6).alias("quality")),
     "p02_embedding_text": lambda s, d: nodes_of(s, d).select("node_id", embedding_text().alias("text")),
     "p16_reminders": lambda s, d: table(s, d, "tasks").distinct().select("task_id", with_line(F.col("prompt"), "Keep to the rules.", "prepend", F.col("task_id")).alias("before"), with_line(F.col("prompt"), "Keep to the rules.", "random", F.col("task_id")).alias("inside")),
-    "w07_semantic_chunks": lambda s, d: semantic_chunks(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk", F.length("content").alias("chars")),
+    "w07_semantic_chunks": lambda s, d: semantic_chunks(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk", "content"),
     "w15_type_decay": lambda s, d: type_decay(nodes_of(s, d), PREFERRED).withColumn("score", F.round("score", 6)),
     "w17_page_cap": lambda s, d: capped_per_page(nodes_of(s, d)).select("node_id", "n"),
     "c30_json": lambda s, d: table(s, d, "events").select("event_id", J.robust(F.concat(F.lit("Result:\n```json\n"), F.replace("props", F.lit("}"), F.lit(",}")), F.lit("\n```")), "k bigint")["k"].alias("k")),
     "c38_reply_scores": lambda s, d: table(s, d, "no_rag_responses").where("answer is not null").select("row_id", J.reply_score(F.col("answer")).alias("score")),
-    "s02_lines": lambda s, d: lines_of(words_of(nodes_of(s, d))).groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.min("x0").alias("x0"), F.max("bottom").alias("bottom")),
-    "s03_paragraphs": lambda s, d: paragraphs_of(lines_of(words_of(nodes_of(s, d)))).groupBy("doc_id", "page").agg(F.count("*").alias("paragraphs")),
+    "s02_lines": lambda s, d: lines_of(words_of(nodes_of(s, d))).select("doc_id", "page", "line", "text", "x0", "bottom"),
+    "s03_paragraphs": lambda s, d: paragraphs_of(lines_of(words_of(nodes_of(s, d)))),
 }
 
 _N = "WITH RECURSIVE n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ingested_at DESC) AS rn FROM nodes) WHERE rn = 1 AND deleted_at IS NULL)"
@@ -357,6 +357,10 @@ _ST = _SE + ", ty AS (SELECT s2.sample, count(*) AS size, list_sort(list_filter(
 _UNI = lambda seed, c: f"('0x' || substr(md5('{seed}|' || {c}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 _MO = " UNION ALL ".join(f"SELECT '{n}' AS motif, {k} AS mk, {e} AS ml, {a} AS least, {b} AS most" for n, k, e, a, b in MOTIFS)
 
+_LINES = """, w AS (SELECT source_file AS doc_id, page_num AS page, bbox.y0 AS top, bbox.x0 AS left_, unnest(string_split(content, ' ')) AS text, unnest(range(len(string_split(content, ' ')))) AS k FROM n WHERE bbox IS NOT NULL AND page_num IS NOT NULL AND source_file IS NOT NULL AND content IS NOT NULL),
+        l AS (SELECT *, left_ + k * 10.0::DOUBLE AS x0 FROM w), f AS (SELECT *, coalesce((abs(top - lag(top) OVER o) >= 5)::INT, 0) AS fresh FROM l WINDOW o AS (PARTITION BY doc_id, page ORDER BY top, x0, text)),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY top, x0, text ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM f)"""
+
 SQL = {
     "g02_samples": _S + " SELECT * FROM s2",
     "g03_directed_samples": _N + _E + _around("TRUE", True, 10) + " SELECT sample, count(*) AS nodes FROM s2 GROUP BY sample",
@@ -376,5 +380,10 @@ SQL = {
     "w15_type_decay": _N + ", r AS (SELECT *, list_position(['table', 'figure', 'heading'], node_type) AS r FROM n), f AS (SELECT *, row_number() OVER (PARTITION BY source_file, node_type ORDER BY node_id) AS k FROM r WHERE r > 0) SELECT source_file, node_id, round((1 - (r - 1) / 3.0::DOUBLE) / row_number() OVER (PARTITION BY source_file ORDER BY r, k), 6) AS score FROM f WHERE k <= 5",
     "w17_page_cap": _N + " SELECT node_id, k AS n FROM (SELECT node_id, row_number() OVER (PARTITION BY source_file, page_num ORDER BY CASE WHEN node_type IN ('table', 'figure') THEN 0 ELSE 1 END, node_id)::INT AS k FROM n WHERE page_num IS NOT NULL) WHERE k <= 3",
     "c30_json": "SELECT event_id, (props->>'k')::BIGINT AS k FROM events",
-    "s02_lines": _N + ", w AS (SELECT source_file AS doc_id, page_num AS page, bbox.y0 AS top, bbox.x0 AS x0 FROM n WHERE bbox IS NOT NULL AND page_num IS NOT NULL AND source_file IS NOT NULL AND content IS NOT NULL), l AS (SELECT doc_id, page, top, x0, (abs(top - lag(top) OVER (PARTITION BY doc_id, page ORDER BY top, x0)) >= 5)::INT AS fresh FROM w) SELECT doc_id, page, coalesce(sum(fresh), 0)::BIGINT + 1 AS lines, min(x0) AS x0, max(top) + 12 AS bottom FROM l GROUP BY ALL",
+    "s02_lines": _N + _LINES + " SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY top, x0, text) AS text, min(x0) AS x0, max(top) + 12 AS bottom FROM g GROUP BY ALL",
+    # what ends a paragraph lies below all of it, so the lowest line so far is the lowest of the page so far
+    "s03_paragraphs": _N + _LINES + """, ln AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY top, x0, text) AS text, min(top) AS top, max(top) + 12 AS bottom FROM g GROUP BY ALL),
+        pn AS (SELECT *, coalesce((top - max(bottom) OVER (PARTITION BY doc_id, page ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 10)::INT, 0) AS fresh FROM ln),
+        pp AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY line ROWS UNBOUNDED PRECEDING)::INT AS paragraph FROM pn)
+        SELECT doc_id, page, paragraph, string_agg(text, ' ' ORDER BY line) AS text, min(top) AS top, max(bottom) AS bottom, 11.0::DOUBLE AS size FROM pp GROUP BY ALL""",
 }
