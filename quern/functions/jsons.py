@@ -46,11 +46,11 @@ def reply_score(c: Column) -> Column:
 
 
 def thinking(c: Column) -> Column:
-    return F.trim(F.regexp_extract(c, r"(?s)<thinking>(.*?)</thinking>", 1))
+    return F.regexp_replace(F.regexp_extract(c, r"(?s)<thinking>(.*?)</thinking>", 1), r"^\s+|\s+$", "")
 
 
 def without_thinking(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?s)<thinking>.*?</thinking>", ""))
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)<thinking>.*?</thinking>", ""), r"^\s+|\s+$", "")
 
 
 def code_blocks(c: Column) -> Column:

@@ -14,7 +14,10 @@ from quern.operators import sampling as S
 from quern.operators import scoring as R
 from quern.operators.graph import edges_of, nodes_of
 from quern.operators.tasks import SAFETY_TYPES, alike_texts, distributions, uniform
+from quern.operators import web as W
 from quern.plans.runtime import table
+from quern.sources.documents import block_kind, lines_of
+from quern.sources.sinks import instruction
 
 #: Ids that a stand-in for a model cites, and an answer of such a stand-in (fixed values).
 MOCK_CITATIONS = ["chunk_1", "chunk_2", "chunk_3", "chunk_4", "entity_1", "entity_2", "entity_3", "para_2"]
@@ -273,10 +276,24 @@ QUERIES = {
     "u05_update": lambda s, d: edges_of(s, d).select("edge_id", F.when(F.col("weight").isNull(), 0.5).otherwise(F.col("weight")).alias("weight")),
     "u05_insert_ignore": lambda s, d: (lambda old, new: old.unionByName(new.join(old.select("id"), "id", "left_anti")))(table(s, d, "entity_nodes").select(F.col("canonical_name").alias("id")).where("id is not null").distinct(), table(s, d, "entity_nodes").select(F.col("entity_type").alias("id")).where("id is not null").distinct()),
     "u06_index_add": lambda s, d: nodes_of(s, d).where(usable(F.col("embedding")) & (F.size("embedding") == 64)).join(table(s, d, "tasks").select(F.explode("gold_nodes").alias("node_id")).distinct(), "node_id", "left_anti").select("node_id"),
+    "c02_without_addresses": lambda s, d: table(s, d, "documents").where("doc_id is not null and text is not null").select("doc_id", F.regexp_replace(F.regexp_replace("text", T.URL, ""), T.EMAIL, "").alias("text")),
+    "c35_reply_parts": lambda s, d: table(s, d, "events").select("event_id", _made_reply().alias("r")).select("event_id", J.thinking(F.col("r")).alias("thought"), J.without_thinking(F.col("r")).alias("said"), F.array_join(J.code_blocks(F.col("r")), "|").alias("code")),
+    "p13_kinds": lambda s, d: table(s, d, "events").groupBy(W.canonical_kind(F.element_at(F.array(*[F.lit(f" {k.upper()}") for k in _RAW]), (F.col("event_id") % len(_RAW) + 1).cast("int"))).alias("kind")).agg(F.count("*").alias("n")),
+    "s05_block_kinds": lambda s, d: lines_of(S.words_of(nodes_of(s, d))).select("doc_id", "page", "line", block_kind(F.col("text"), F.col("size")).alias("kind")),
+    "k03_instruction_rows": lambda s, d: instruction(table(s, d, "training_samples").where("row_id is not null")).select(F.get_json_object("value", "$.instruction").alias("instruction"), F.get_json_object("value", "$.output").alias("output")),
+    "j23_joined": lambda s, d: R.evaluations(s, d).join(R.tasks_of(s, d).select("task_id", F.col("template_id")), "task_id").select("row_id", "task_id", "template_id", "task_type", F.round("f1_score", 6).alias("f1_score")),
     "p04_nodes_of_elements": lambda s, d: (lambda e: e.select("doc_id", "pos", F.element_at(F.create_map(*[F.lit(x) for kv in NODE_OF.items() for x in kv]), F.col("kind")).alias("node_type")).where("node_type is not null"))(_document_elements(s, d)),
 }
 
 
+_RAW = [*W.KIND_NAMES, "link", "other"]
+
+
+def _made_reply() -> Column:
+    k = F.get_json_object("props", "$.k")
+    return F.concat(F.lit("<thinking>\n so "), k, F.lit(" </thinking>\nThen run\n```python\nprint("), k, F.lit(")\n```\nand\n```\nx\n```"))
+
+
 def _document_elements(s: SparkSession, d: str) -> DataFrame:
     from quern.operators.elements import _elements
 
@@ -357,5 +374,12 @@ SQL = {
     "u05_update": _EDGES + " SELECT edge_id, coalesce(weight, 0.5) AS weight FROM e",
     "u05_insert_ignore": "SELECT canonical_name AS id FROM entity_nodes WHERE canonical_name IS NOT NULL UNION SELECT entity_type FROM entity_nodes WHERE entity_type IS NOT NULL",
     "u06_index_add": _NODES + _TV + " SELECT node AS node_id FROM v WHERE len(v) = 64 AND node NOT IN (SELECT node FROM (SELECT unnest(gold_nodes) AS node FROM tasks) WHERE node IS NOT NULL)",
+    "c02_without_addresses": f"SELECT doc_id, regexp_replace(regexp_replace(text, '{T.URL}', '', 'g'), '{T.EMAIL}', '', 'g') AS text FROM documents WHERE text IS NOT NULL",
+    "c35_reply_parts": f"SELECT event_id, 'so ' || {_K} AS thought, 'Then run' || chr(10) || '```python' || chr(10) || 'print(' || {_K} || ')' || chr(10) || '```' || chr(10) || 'and' || chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' AS said, 'print(' || {_K} || ')' || chr(10) || '|x' || chr(10) AS code FROM events",
+    "p13_kinds": f"SELECT coalesce(map_extract(MAP {{{', '.join(f'{k!r}: {v!r}' for k, v in W.KIND_NAMES.items())}}}, r)[1], r) AS kind, count(*) AS n FROM (SELECT {_RAW!r}[event_id % {len(_RAW)} + 1] AS r FROM events) GROUP BY ALL",
+    "s05_block_kinds": S._N + S._LINES + """, ln AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY top, x0, text) AS text FROM g GROUP BY ALL) SELECT doc_id, page, line,
+        CASE WHEN regexp_matches(text, '^[0-9]+(?:\\.[0-9]+)*\\.? [A-Z]') OR (regexp_matches(text, '^[A-Z][A-Z0-9 ,:&-]{3,}$') AND length(text) < 100) THEN 'heading' WHEN regexp_matches(text, '^\\s*(?:[-•*]|[0-9]+[.)]) ') THEN 'list_item' ELSE 'paragraph' END AS kind FROM ln""",
+    "k03_instruction_rows": "SELECT prompt AS instruction, target_answer AS output FROM training_samples",
+    "j23_joined": R._EV + " SELECT row_id, ev.task_id, t.template_id, ev.task_type, round(f1_score, 6) AS f1_score FROM ev JOIN t ON t.task_id = ev.task_id",
     "p04_nodes_of_elements": _EL,
 }
