@@ -308,7 +308,7 @@ def propagated_sources(spark: SparkSession, d: str, depth: int = 2, decay: float
 def hybrid_attribution(spark: SparkSession, d: str) -> DataFrame:
     """(row_id, node, score, methods): the weighted scores of three finished attributions, over the number of those that name the node."""
     rows = None
-    for f, weight, least in ((centrality_attribution, 0.4, 0.3), (propagated_sources, 0.4, 0.2), (attention_attribution, 0.2, 0.3)):
+    for f, weight, least in ((centrality_attribution, 0.4, 0.3), (error_sources, 0.4, 0.2), (attention_attribution, 0.2, 0.3)):
         one = best(f(spark, d).withColumn("score", F.round("score", 6)), "row_id", 5).where(F.col("score") >= least).select("row_id", "node", (F.col("score") * weight).alias("score"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy("row_id", "node").agg((F.sum("score") / F.count("*")).alias("score"), F.count("*").alias("methods"))
@@ -345,7 +345,6 @@ QUERIES = {
     "m10_failures": lambda s, d: failures(judged(s, d)),
     "m11_centrality_attribution": lambda s, d: centrality_attribution(s, d).withColumn("score", F.round("score", 6)),
     "m12_error_sources": error_sources,
-    "m12_propagated_sources": lambda s, d: propagated_sources(s, d).withColumn("score", F.round("score", 6)),
     "m03_retrieval_accuracy": lambda s, d: judged(s, d).select("row_id", F.coalesce(F.col("success").cast("double"), F.lit(0.0)).alias("pass_rate"), F.round("token_efficiency", 6).alias("token_efficiency"), F.round("retrieval_accuracy", 6).alias("retrieval_accuracy")),
     "m13_attention_attribution": lambda s, d: attention_attribution(s, d).withColumn("score", F.round("score", 6)),
     "m14_hybrid_attribution": lambda s, d: hybrid_attribution(s, d).withColumn("score", F.round("score", 6)),
@@ -419,7 +418,7 @@ s1 AS (SELECT row_id, neighbour AS node, sum(score * 0.7 * w) AS score FROM m12
 pr AS (SELECT row_id, node, max(score) AS score FROM (SELECT * FROM m12 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY ALL),
 a0 AS (SELECT *, {_PLAIN.format("content")} AS nt, {_PLAIN.format("prompt")} AS qt, {_PLAIN.format("answer")} AS wt FROM iv),
 m13 AS (SELECT row_id, node, (CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(qt, nt)) / len(qt)::DOUBLE END + CASE WHEN len(nt) = 0 THEN 0.0 ELSE len(list_intersect(wt, nt)) / len(nt)::DOUBLE END) / 2 + {_FAULT.format(0.3, 0.2)} + CASE WHEN f1_score < 0.5 THEN 0.1 ELSE 0.0 END AS score FROM a0),
-m14 AS (SELECT row_id, node, round(sum(score) / count(*), 6) AS score, count(*) AS methods FROM ({" UNION ALL ".join(f"SELECT row_id, node, score * {w} AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, node) AS k FROM (SELECT row_id, node, round(score, 6) AS score FROM {t})) WHERE k <= 5 AND score >= {x}" for t, w, x in (("m11", 0.4, 0.3), ("pr", 0.4, 0.2), ("m13", 0.2, 0.3)))}) GROUP BY ALL)"""
+m14 AS (SELECT row_id, node, round(sum(score) / count(*), 6) AS score, count(*) AS methods FROM ({" UNION ALL ".join(f"SELECT row_id, node, score * {w} AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, node) AS k FROM (SELECT row_id, node, round(score, 6) AS score FROM {t})) WHERE k <= 5 AND score >= {x}" for t, w, x in (("m11", 0.4, 0.3), ("m12", 0.4, 0.2), ("m13", 0.2, 0.3)))}) GROUP BY ALL)"""
 )
 _BAD = "WHEN citation_f1 < 0.3 THEN 'citation_failure' WHEN f1_score < 0.3 THEN 'answer_quality_failure'"
 _LOW = "WHEN reasoning < 0.5 THEN 'reasoning_failure' WHEN safety < 0.8 THEN 'safety_failure'"
@@ -456,7 +455,6 @@ SQL = {
     "m08_relevance": _EV + _REL + " SELECT task_id, node, score FROM rel",
     "m10_failures": _EV + _REL + " " + " UNION ALL ".join(f"SELECT '{m}' AS method, {c} AS failure, count(*) AS n FROM jd GROUP BY ALL" for m, c in _FAIL.items()),
     "m03_retrieval_accuracy": _EV + _REL + " SELECT row_id, coalesce(success::INT, 0)::DOUBLE AS pass_rate, round(token_efficiency, 6) AS token_efficiency, round(retrieval_accuracy, 6) AS retrieval_accuracy FROM jd",
-    "m12_propagated_sources": _EV + _INV + " SELECT row_id, node, round(score, 6) AS score FROM pr",
     "m11_centrality_attribution": _EV + _INV + " SELECT row_id, node, round(score, 6) AS score FROM m11",
     "m12_error_sources": _EV + _INV + " SELECT row_id, node, score::DOUBLE AS score FROM m12",
     "m13_attention_attribution": _EV + _INV + " SELECT row_id, node, round(score, 6) AS score FROM m13",
