@@ -1,5 +1,8 @@
 import random
+import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from quern.operators import assessment as A
 
@@ -42,3 +45,25 @@ def test_mocks_and_assessments(spark):
     assert [r[0] for r in df.select(A.is_mock(F.col("a"), F.col("c"))).collect()] == [True, True, False, False]
     replies = spark.createDataFrame([('So: {"relevance": 0.5, "completeness": "x"} ok',), ("none",), (None,)], "r string")
     assert [tuple(r["a"]) for r in replies.select(A.assessment(F.col("r")).alias("a")).collect()] == [(0.0, 0.5, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+
+
+def test_semantic_search_over_many_pairs(spark):
+    """8 million pairs: the ten best with copies, scaled copies and vectors of another size among them; pair by pair in the JVM they took minutes."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(20_000, 64)).astype(np.float32)
+    v[5000:5030], v[6000:6015], v[19_990:] = v[7], 2 * v[8], v[399]
+    ids = [f"n{i:05}" for i in rng.permutation(len(v))]
+    nodes = spark.createDataFrame(pd.DataFrame({"node_id": [*ids, "short", "zero", "nan"], "embedding": [*v.tolist(), [1.0, 2.0], [0.0] * 64, [float("nan")] * 64]}), "node_id string, embedding array<float>").repartition(3).persist()
+    nodes.count()
+    gold = [["zero", "nowhere", ids[i], ids[i + 1]] for i in range(400)] + [["short"], ["nan"], []]
+    tasks = spark.createDataFrame([(f"t{i:03}", g) for i, g in enumerate(gold)], "task_id string, gold_nodes array<string>")
+    began = time.time()
+    got = {(r["task_id"], r["rank"]): (r["node"], r["score"]) for r in A.semantic_search(tasks, nodes).collect()}
+    assert time.time() - began < 60
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    want = {("t400", 1): ("short", 1.0)}
+    for i, scores in enumerate(np.round(unit[:400] @ unit.T, 6)):
+        for rank, j in enumerate(sorted(np.argsort(-scores)[:200], key=lambda j: (-scores[j], ids[j]))[:10], 1):
+            want[f"t{i:03}", rank] = (ids[j], scores[j])
+    assert {k: (n, round(float(x), 5)) for k, (n, x) in got.items()} == {k: (n, round(float(x), 5)) for k, (n, x) in want.items()}
+    nodes.unpersist()
